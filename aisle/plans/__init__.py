@@ -6,7 +6,7 @@ from importlib import import_module
 
 from aisle.plans.registry import ORACLES, PLANS
 
-MODULES = ["stores"]
+MODULES = ["stores", "customers", "products"]
 
 
 def load() -> None:

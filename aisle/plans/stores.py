@@ -70,14 +70,14 @@ def missing_periods(t):
 @query(
     "missing_period_log",
     """
-WITH d AS (SELECT DISTINCT store_id, traffic_date FROM traffic),
+WITH d AS (SELECT DISTINCT store_id, traffic_date FROM store_traffic),
 n AS (SELECT *, lead(traffic_date) OVER (PARTITION BY store_id ORDER BY traffic_date) AS nxt FROM d)
 SELECT store_id, 'traffic' AS data_type, traffic_date + 1 AS missing_start, nxt - 1 AS missing_end, CAST(nxt - traffic_date - 1 AS INTEGER) AS missing_count,
        DATE '2024-01-31' AS detected_at
 FROM n WHERE nxt - traffic_date > 1""",
 )
 def missing_period_log(t):
-    gaps = kpi.missing_periods(t("traffic"), "traffic_date", ["store_id"])
+    gaps = kpi.missing_periods(t("store_traffic"), "traffic_date", ["store_id"])
     return kpi.missing_period_log(gaps, "traffic", "2024-01-31")
 
 

@@ -114,17 +114,48 @@ SELECT DISTINCT l.l_suppkey AS supplier_id, l.l_partkey AS item_id, p.p_retailpr
        CAST(1 + l.l_suppkey % 4 AS INT) AS moq, CAST(1 + l.l_partkey % 6 AS INT) AS packaging_unit,
        (l.l_suppkey + l.l_partkey) % 3 = 0 AS is_primary
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
-    "discount_tiers": """
-SELECT s_suppkey AS supplier_id, p_partkey AS item_id, CAST(4 + p_partkey % 3 AS INT) AS min_qty, 0.05 AS discount_rate, CAST(NULL AS DOUBLE) AS tier_price
-FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey AS p_partkey FROM {lineitem}) a
+    "supplier_performance": """
+SELECT supplier_id, CAST(date_trunc('quarter', order_date) AS DATE) AS period_start, count(*) AS total_orders,
+       sum(CASE WHEN actual_delivery_date <= expected_delivery_date THEN 1 ELSE 0 END) AS on_time_deliveries,
+       count(*) * 40 AS total_items_ordered, count(*) * 39 AS total_items_received, count(*) AS defect_items,
+       CAST(60 + count(*) % 40 AS DOUBLE) AS overall_score
+FROM {purchase_orders} GROUP BY supplier_id, CAST(date_trunc('quarter', order_date) AS DATE)""",
+    # Coarser stores and items, so that single items sell on many days.
+    "shop_sales": """
+SELECT l_suppkey % 5 AS store_id, l_partkey % 40 AS item_id, CAST(l_shipdate AS DATE) AS sale_date, l_quantity AS quantity FROM {lineitem}""",
+    "shop_inventory": """
+SELECT l_suppkey % 5 AS store_id, l_partkey % 40 AS item_id, concat('Item ', CAST(l_partkey % 40 AS VARCHAR(10))) AS item_name,
+       CAST(date_trunc('month', l_shipdate) AS DATE) AS snapshot_date, CAST((CAST(sum(l_quantity) AS BIGINT) * 7) % 260 - 5 AS DOUBLE) AS quantity,
+       CAST(10 + l_partkey % 40 AS DOUBLE) AS min_stock
+FROM {lineitem} GROUP BY l_suppkey % 5, l_partkey % 40, CAST(date_trunc('month', l_shipdate) AS DATE)""",
+    "shop_supplier_items": """
+SELECT l_suppkey AS supplier_id, l_partkey % 40 AS item_id, CAST(40 + (l_suppkey % 10) * 15 AS DOUBLE) AS unit_cost,
+       CAST(1 + l_suppkey % 4 * 10 AS INT) AS moq, CAST(1 + l_partkey % 40 % 6 AS INT) AS packaging_unit,
+       (l_suppkey + l_partkey % 40) % 3 = 0 AS is_primary
+FROM {lineitem} WHERE l_partkey % 40 <> 39 GROUP BY l_suppkey, l_partkey % 40""",
+    "shop_discount_tiers": """
+SELECT supplier_id, item_id, CAST(60 + item_id % 30 AS INT) AS min_qty, 0.05 AS discount_rate, CAST(NULL AS DOUBLE) AS tier_price
+FROM {shop_supplier_items} WHERE item_id % 4 <> 1
 UNION ALL
-SELECT s_suppkey, p_partkey, CAST(9 + p_partkey % 4 AS INT), 0.15, CASE p_partkey % 5 WHEN 0 THEN 700.0 ELSE CAST(NULL AS DOUBLE) END
-FROM (SELECT DISTINCT l_suppkey AS s_suppkey, l_partkey AS p_partkey FROM {lineitem}) b""",
-    "replenishment_configs": """
-SELECT DISTINCT l_suppkey AS store_id, l_partkey AS item_id,
-       CASE l_partkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.95 ELSE 0.99 END AS service_level, CAST(5 + l_partkey % 5 AS INT) AS review_period_days,
-       CAST(20 + l_suppkey % 20 AS INT) AS max_stock_days, 0.2 AS weather_sensitivity, 1.5 AS promo_boost_factor
-FROM {lineitem} WHERE l_partkey % 4 = 1""",
+SELECT supplier_id, item_id, CAST(90 + item_id % 35 AS INT), 0.15, CASE item_id % 5 WHEN 0 THEN unit_cost * 0.7 ELSE CAST(NULL AS DOUBLE) END
+FROM {shop_supplier_items} WHERE item_id % 4 <> 1""",
+    "shop_configs": """
+SELECT l_suppkey % 5 AS store_id, l_partkey % 40 AS item_id,
+       CASE l_partkey % 40 % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.95 ELSE 0.99 END AS service_level, CAST(5 + l_partkey % 40 % 5 AS INT) AS review_period_days,
+       CAST(20 + l_suppkey % 5 * 4 AS INT) AS max_stock_days, 0.2 AS weather_sensitivity, 1.5 AS promo_boost_factor
+FROM {lineitem} WHERE l_partkey % 40 % 4 = 1 GROUP BY l_suppkey % 5, l_partkey % 40""",
+    # One product per brand and type.
+    "style_products": """
+SELECT min(p_partkey) AS id, concat(concat(p_brand, ' '), p_type) AS item_id, concat(concat(p_brand, ' '), p_type) AS item_name, p_type AS category,
+       min(p_retailprice) * 1.2 AS unit_cost, CASE WHEN min(p_partkey) % 9 = 0 THEN NULL ELSE DATE '2001-11-05' - CAST((min(p_partkey) * 11) % 700 AS INT) END AS launch_date,
+       min(p_partkey) % 20 <> 3 AS is_active FROM {part} GROUP BY p_brand, p_type""",
+    "product_snapshots": """
+SELECT l_partkey % 200 AS product_id, l_suppkey % 5 AS store_id, CAST(date_trunc('week', l_shipdate) AS DATE) AS snapshot_week,
+       CASE WHEN sum(l_quantity) < 20 THEN 'introduction' WHEN sum(l_quantity) < 40 THEN 'growth' WHEN sum(l_quantity) < 60 THEN 'maturity' ELSE 'decline' END AS stage,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 4))) AS DOUBLE) AS weekly_revenue, sum(l_quantity) AS weekly_quantity,
+       CAST(count(*) AS DOUBLE) / 8 - 0.25 AS growth_rate, CAST(count(*) AS DOUBLE) / 16 AS adoption_rate, 0.0 AS market_share,
+       CAST(min(l_linenumber) AS DOUBLE) / 16 AS margin_rate, sum(l_quantity) / 8 AS velocity
+FROM {lineitem} GROUP BY l_partkey % 200, l_suppkey % 5, CAST(date_trunc('week', l_shipdate) AS DATE)""",
     "purchase_orders": """
 SELECT l.l_orderkey AS order_no, l.l_suppkey AS supplier_id, l.l_suppkey AS store_id, CAST(o.o_orderdate AS DATE) AS order_date,
        CAST(CAST(o.o_orderdate AS DATE) + INTERVAL '60' DAY AS DATE) AS expected_delivery_date, CAST(max(l.l_shipdate) AS DATE) AS actual_delivery_date,
