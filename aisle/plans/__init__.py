@@ -6,7 +6,7 @@ from importlib import import_module
 
 from aisle.plans.registry import ORACLES, PLANS
 
-MODULES = ["stores", "customers", "products", "supply_chain", "employees"]
+MODULES = ["stores", "customers", "products", "supply_chain", "employees", "space"]
 
 
 def load() -> None:

@@ -217,7 +217,7 @@ SELECT z.store_id * 10 + z.slot AS id, z.store_id, concat('Zone ', z.category) A
        CASE z.slot % 3 WHEN 0 THEN 'entrance' WHEN 1 THEN 'shelf' ELSE 'checkout' END AS zone_type, z.category,
        CAST(10 + (z.store_id * 7 + z.slot * 13) % 60 AS DOUBLE) AS area_sqm, CAST(z.slot * 10 AS DOUBLE) AS position_x, CAST(z.slot % 2 * 8 AS DOUBLE) AS position_y,
        9.0 AS width, 7.0 AS height, (z.store_id + z.slot) % 11 <> 10 AS is_active
-FROM (SELECT DISTINCT l.l_suppkey AS store_id, p.p_type AS category, CAST(ascii(substr(p.p_type, 1, 1)) % 10 AS INT) AS slot
+FROM (SELECT DISTINCT l.l_suppkey AS store_id, p.p_type AS category, CAST((ascii(p.p_type) + 4 * length(p.p_type)) % 10 AS INT) AS slot
       FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey) z""",
     "zone_item_mapping": """
 SELECT id AS zone_id, store_id, category, CASE WHEN id % 7 = 5 THEN store_id * 2 ELSE NULL END AS item_id FROM {store_zones}""",
