@@ -122,7 +122,8 @@ SELECT supplier_id, CAST(date_trunc('quarter', order_date) AS DATE) AS period_st
 FROM {purchase_orders} GROUP BY supplier_id, CAST(date_trunc('quarter', order_date) AS DATE)""",
     # Coarser stores and items, so that single items sell on many days.
     "shop_sales": """
-SELECT l_suppkey % 5 AS store_id, l_partkey % 40 AS item_id, CAST(l_shipdate AS DATE) AS sale_date, l_quantity AS quantity FROM {lineitem}""",
+SELECT l_suppkey % 5 AS store_id, l_partkey % 40 AS item_id, CAST(l_shipdate AS DATE) AS sale_date, l_quantity AS quantity,
+       l_extendedprice * (1 - l_discount) AS total_amount FROM {lineitem}""",
     "shop_inventory": """
 SELECT l_suppkey % 5 AS store_id, l_partkey % 40 AS item_id, concat('Item ', CAST(l_partkey % 40 AS VARCHAR(10))) AS item_name,
        CAST(date_trunc('month', l_shipdate) AS DATE) AS snapshot_date, CAST((CAST(sum(l_quantity) AS BIGINT) * 7) % 260 - 5 AS DOUBLE) AS quantity,
