@@ -87,43 +87,45 @@ def newest_rows(
 
 
 def interpolate(
-    df: DataFrame, value: str, keys: list[str], bucket: str, order: list[Column]
+    df: DataFrame, values: list[str], keys: list[str], bucket: str, order: list[Column]
 ) -> DataFrame:
-    """Linear fill of nulls by row position inside each key; the ends take the nearest value."""
+    """Linear fill of nulls by row position inside each key; the ends take the nearest value.
+
+    All columns share one numbering, one window and one join.
+    """
     numbered = position(df, keys, bucket, order, "_pos")
-    point = F.when(F.col(value).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(value).alias("v")))
-    local = Window.partitionBy(*keys, bucket).orderBy("_pos")
+    point = {
+        v: F.when(F.col(v).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(v).alias("v"))) for v in values
+    }
     ends = numbered.groupBy(*keys, bucket).agg(
-        F.min(point).alias("_head"), F.max(point).alias("_tail")
+        *[F.min(point[v]).alias(f"_head_{v}") for v in values], *[F.max(point[v]).alias(f"_tail_{v}") for v in values]
     )
     by_bucket = Window.partitionBy(*keys).orderBy(bucket)
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    after = by_bucket.rowsBetween(1, Window.unboundedFollowing)
     carried = ends.select(
         *keys,
         bucket,
-        F.last("_tail", ignorenulls=True)
-        .over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_carry_prev"),
-        F.first("_head", ignorenulls=True)
-        .over(by_bucket.rowsBetween(1, Window.unboundedFollowing))
-        .alias("_carry_next"),
+        *[F.last(f"_tail_{v}", ignorenulls=True).over(before).alias(f"_before_{v}") for v in values],
+        *[F.first(f"_head_{v}", ignorenulls=True).over(after).alias(f"_after_{v}") for v in values],
     )
-    filled = (
-        numbered.withColumn(
-            "_prev", F.last(point, True).over(local.rowsBetween(Window.unboundedPreceding, 0))
+    local = Window.partitionBy(*keys, bucket).orderBy("_pos")
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
+    to_come = local.rowsBetween(0, Window.unboundedFollowing)
+    out = numbered.select(
+        "*",
+        *[F.last(point[v], True).over(so_far).alias(f"_prev_{v}") for v in values],
+        *[F.first(point[v], True).over(to_come).alias(f"_next_{v}") for v in values],
+    ).join(carried, [*keys, bucket])
+    for v in values:
+        prev = F.coalesce(f"_prev_{v}", f"_before_{v}")
+        following = F.coalesce(f"_next_{v}", f"_after_{v}")
+        line = prev["v"] + (following["v"] - prev["v"]) * (F.col("_pos") - prev["p"]) / (following["p"] - prev["p"])
+        out = out.withColumn(
+            v,
+            F.when(F.col(v).isNotNull(), F.col(v))
+            .when(prev.isNull(), following["v"])
+            .when(following.isNull(), prev["v"])
+            .otherwise(line),
         )
-        .withColumn("_next", F.first(point, True).over(local.rowsBetween(0, Window.unboundedFollowing)))
-        .join(carried, [*keys, bucket])
-        .withColumn("_prev", F.coalesce("_prev", "_carry_prev"))
-        .withColumn("_next", F.coalesce("_next", "_carry_next"))
-    )
-    gap = F.col("_next.p") - F.col("_prev.p")
-    line = F.col("_prev.v") + (F.col("_next.v") - F.col("_prev.v")) * (
-        F.col("_pos") - F.col("_prev.p")
-    ) / gap
-    return filled.withColumn(
-        value,
-        F.when(F.col(value).isNotNull(), F.col(value))
-        .when(F.col("_prev").isNull(), F.col("_next.v"))
-        .when(F.col("_next").isNull(), F.col("_prev.v"))
-        .otherwise(line),
-    ).drop("_pos", "_prev", "_next", "_carry_prev", "_carry_next")
+    return out.select(*df.columns)
