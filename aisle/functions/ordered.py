@@ -36,6 +36,22 @@ def running_sum(
     )
 
 
+def lower_totals(
+    df: DataFrame, keys: list[str], value: str, amount: str, out: str, ranges: int = 64
+) -> DataFrame:
+    """Per distinct value of a key, the sum of ``amount`` over strictly lower values.
+
+    Equal values are added up first; approximate cuts of each key's values give the
+    buckets, so a key with very many values is spread too.
+    """
+    fractions = [i / ranges for i in range(1, ranges)]
+    summed = df.groupBy(*keys, value).agg(F.sum(amount).alias("_amount"))
+    cuts = summed.groupBy(*keys).agg(F.percentile_approx(value, fractions, 10 * ranges).alias("_cuts"))
+    ranged = summed.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    upto = running_sum(ranged, keys, "_range", [F.col(value)], F.col("_amount"), "_upto")
+    return upto.select(*keys, value, (F.col("_upto") - F.col("_amount")).alias(out))
+
+
 def position(
     df: DataFrame, keys: list[str], bucket: str, order: list[Column], out: str
 ) -> DataFrame:
@@ -91,36 +107,44 @@ def interpolate(
 ) -> DataFrame:
     """Linear fill of nulls by row position inside each key; the ends take the nearest value.
 
-    All columns share one numbering, one window and one join.
+    Rows are numbered inside their bucket; one summary row per bucket carries the
+    offset of the numbering and the nearest known points of the buckets around.
     """
-    numbered = position(df, keys, bucket, order, "_pos")
-    point = {
-        v: F.when(F.col(v).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(v).alias("v"))) for v in values
-    }
-    ends = numbered.groupBy(*keys, bucket).agg(
-        *[F.min(point[v]).alias(f"_head_{v}") for v in values], *[F.max(point[v]).alias(f"_tail_{v}") for v in values]
+    rows = df.withColumn("_lp", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
+    point = {v: F.when(F.col(v).isNotNull(), F.struct(F.col("_lp").alias("p"), F.col(v).alias("v"))) for v in values}
+    ends = rows.groupBy(*keys, bucket).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.min(point[v]).alias(f"_head_{v}") for v in values],
+        *[F.max(point[v]).alias(f"_tail_{v}") for v in values],
+    )
+    # Looking ahead is a running frame over the reverse order: a frame that ends at
+    # "unbounded following" would be evaluated anew for every row.
+    before = _before(keys, bucket)
+    after = Window.partitionBy(*keys).orderBy(F.col(bucket).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = lambda c: F.when(
+        F.col(c).isNotNull(), F.struct((F.col("_offset") + F.col(c)["p"]).alias("p"), F.col(c)["v"].alias("v"))
     )
-    by_bucket = Window.partitionBy(*keys).orderBy(bucket)
-    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_bucket.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select(
+    around = ends.select(
         *keys,
         bucket,
-        *[F.last(f"_tail_{v}", ignorenulls=True).over(before).alias(f"_before_{v}") for v in values],
-        *[F.first(f"_head_{v}", ignorenulls=True).over(after).alias(f"_after_{v}") for v in values],
+        "_offset",
+        *[F.last(placed(f"_tail_{v}"), ignorenulls=True).over(before).alias(f"_before_{v}") for v in values],
+        *[F.last(placed(f"_head_{v}"), ignorenulls=True).over(after).alias(f"_after_{v}") for v in values],
     )
-    local = Window.partitionBy(*keys, bucket).orderBy("_pos")
-    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
-    to_come = local.rowsBetween(0, Window.unboundedFollowing)
-    out = numbered.select(
+    local = Window.partitionBy(*keys, bucket)
+    so_far = local.orderBy("_lp").rowsBetween(Window.unboundedPreceding, 0)
+    to_come = local.orderBy(F.desc("_lp")).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.select(
         "*",
         *[F.last(point[v], True).over(so_far).alias(f"_prev_{v}") for v in values],
-        *[F.first(point[v], True).over(to_come).alias(f"_next_{v}") for v in values],
-    ).join(carried, [*keys, bucket])
+        *[F.last(point[v], True).over(to_come).alias(f"_next_{v}") for v in values],
+    ).join(around, [*keys, bucket])
     for v in values:
-        prev = F.coalesce(f"_prev_{v}", f"_before_{v}")
-        following = F.coalesce(f"_next_{v}", f"_after_{v}")
-        line = prev["v"] + (following["v"] - prev["v"]) * (F.col("_pos") - prev["p"]) / (following["p"] - prev["p"])
+        prev = F.coalesce(placed(f"_prev_{v}"), F.col(f"_before_{v}"))
+        following = F.coalesce(placed(f"_next_{v}"), F.col(f"_after_{v}"))
+        gap = following["p"] - prev["p"]
+        line = prev["v"] + (following["v"] - prev["v"]) * (F.col("_offset") + F.col("_lp") - prev["p"]) / gap
         out = out.withColumn(
             v,
             F.when(F.col(v).isNotNull(), F.col(v))

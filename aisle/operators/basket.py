@@ -68,7 +68,7 @@ def item_thresholds(basket_rows: DataFrame, sales: DataFrame, base: float) -> Da
 
 def _frequent_items(basket_rows: DataFrame, thresholds: DataFrame | None, base: float) -> DataFrame:
     counts = basket_rows.groupBy(SLICE, ITEM).agg(F.count(F.lit(1)).alias("support_count"))
-    sized = counts.join(F.broadcast(basket_count(basket_rows)), SLICE)
+    sized = counts.join(basket_count(basket_rows), SLICE)
     if thresholds is None:
         sized = sized.withColumn("min_support", F.lit(base))
     else:
@@ -128,7 +128,7 @@ def frequent_itemsets(
     """
     basket_rows = cut_lineage(basket_rows)
     singles = cut_lineage(_frequent_items(basket_rows, thresholds, base))
-    kept = basket_rows.join(singles.select(SLICE, ITEM, "min_count"), [SLICE, ITEM])
+    kept = cut_lineage(basket_rows.join(singles.select(SLICE, ITEM, "min_count"), [SLICE, ITEM]))
     levels = [singles.select(SLICE, F.array(ITEM).alias("items"), "support_count")]
     inside, k = _pairs(kept), 2
     while k <= max_k:
@@ -143,9 +143,11 @@ def frequent_itemsets(
         holders = inside.join(frequent.select(SLICE, "items"), [SLICE, "items"], "left_semi").select(
             SLICE, BASKET, F.col("items").alias("part")
         )
+        # The basket's own items first: a part may belong to far more candidates than a basket has items.
+        grown = holders.join(kept.select(SLICE, BASKET, F.col(ITEM).alias("extra")), [SLICE, BASKET])
         inside = (
-            holders.join(_candidates(frequent), [SLICE, "part"])
-            .join(kept.select(SLICE, BASKET, F.col(ITEM).alias("extra")), [SLICE, BASKET, "extra"], "left_semi")
+            grown.where(~F.array_contains("part", F.col("extra")))
+            .join(_candidates(frequent), [SLICE, "part", "extra"])
             .select(SLICE, BASKET, "items", "min_count")
         )
     return reduce(DataFrame.unionByName, levels)
@@ -171,7 +173,7 @@ def association_rules(itemsets: DataFrame, counts: DataFrame, min_confidence: fl
             known.select(SLICE, F.col("_side").alias("antecedent"), F.col("_c").alias("_ca")), [SLICE, "antecedent"]
         )
         .join(known.select(SLICE, F.col("_side").alias("consequent"), F.col("_c").alias("_cc")), [SLICE, "consequent"])
-        .join(F.broadcast(counts), SLICE)
+        .join(counts, SLICE)
     )
     n = F.col("n_baskets")
     support = F.col("support_count") / n

@@ -144,7 +144,9 @@ def clean_sales(df: DataFrame) -> DataFrame:
     typed = coerce(df, ["store_id", "quantity", "unit_price", "total_amount"]).where(F.col("store_id").isNotNull())
     dated = typed.withColumn("_day", F.coalesce(lenient_date("sale_date"), F.lit(NO_DATE).cast("date")))
     order = ["_day", *_order(df, ["receipt_no", "item_id"])]
-    full = interpolate(dated, ["quantity", "unit_price", "total_amount"], "store_id", order, F.col("_day"))
+    # Days are cut once more by receipt, so that one busy day of one store is no single bucket.
+    bucket = F.struct("_day", F.substring("receipt_no", 1, 2).alias("receipts"))
+    full = interpolate(dated, ["quantity", "unit_price", "total_amount"], "store_id", order, bucket)
     valid = full.where((F.col("quantity") > 0) & (F.col("unit_price") >= 0) & (F.col("total_amount") >= 0))
     valid = valid.where(F.col("_day") != F.lit(NO_DATE).cast("date")).withColumn("sale_date", F.col("_day")).drop("_day")
     if "discount_amount" in valid.columns:
@@ -212,25 +214,39 @@ CLEANERS = {
 }
 
 
-def clean(df: DataFrame, entity: str) -> Cleaned:
-    """Headers, empty rows, duplicates, key and column checks, then the entity's cleaner.
-
-    An entity without a cleaner passes through after the duplicate check.
-    """
+def clean_stats(df: DataFrame, entity: str) -> DataFrame:
+    """Counts of an import as one row: total, duplicate and error rows."""
     counted = count_copies(drop_empty_rows(normalize_headers(df)))
     total = F.coalesce(F.sum(COPIES), F.lit(0)).alias("total_rows")
     copies = F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("duplicate_rows")
-    rows = counted.drop(COPIES)
     if entity not in CLEANERS:
-        return Cleaned(rows, counted.agg(total, copies, F.lit(0).cast("long").alias("error_rows")))
+        errors = F.lit(0).cast("long")
+    elif not require_columns(counted, REQUIRED[entity]):
+        errors = F.count(F.lit(1))
+    else:
+        bad = null_key(ROW_KEYS[entity])
+        if entity in NUMERIC_STORE:
+            bad = bad | lenient_number("store_id").isNull()
+        errors = F.count_if(bad)
+    return counted.agg(total, copies, errors.alias("error_rows"))
+
+
+def clean_rows(df: DataFrame, entity: str) -> DataFrame:
+    """Headers, empty rows, duplicates, key and column checks, then the entity's cleaner.
+
+    An entity without a cleaner passes through after the duplicate check; a missing
+    column rejects the whole batch.
+    """
+    rows = count_copies(drop_empty_rows(normalize_headers(df))).drop(COPIES)
+    if entity not in CLEANERS:
+        return rows
     if not require_columns(rows, REQUIRED[entity]):
-        every = F.count(F.lit(1)).alias("error_rows")
-        return Cleaned(rows.where(F.lit(False)), counted.agg(total, copies, every))
-    bad = null_key(ROW_KEYS[entity])
-    if entity in NUMERIC_STORE:
-        bad = bad | lenient_number("store_id").isNull()
-    stats = counted.agg(total, copies, F.count_if(bad).alias("error_rows"))
-    return Cleaned(CLEANERS[entity](drop_null_keys(rows, ROW_KEYS[entity])), stats)
+        return rows.where(F.lit(False))
+    return CLEANERS[entity](drop_null_keys(rows, ROW_KEYS[entity]))
+
+
+def clean(df: DataFrame, entity: str) -> Cleaned:
+    return Cleaned(clean_rows(df, entity), clean_stats(df, entity))
 
 
 def run_import(spark: SparkSession, path: str, entity: str, target: str) -> dict[str, int]:

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aisle.functions import ordered
 from aisle.functions.listing import global_rank, top_k
 from aisle.functions.scalars import clamp, money_sum, round_to
 from aisle.functions.scope import scope_stores, where_optional
@@ -48,16 +49,12 @@ def sales_score(employees: DataFrame, records: DataFrame, periods: Periods) -> D
         .join(own, ["period", "employee_id"], "left")
         .select("period", "store_id", "employee_id", F.coalesce("_own", F.lit(0.0)).alias("_v"), F.lit(0).alias("_peer"))
     )
-    peers = by_store.withColumn("_peer", F.lit(1))
-    # One row per employee and period: a store's staff fits one window group.
     group = ["period", "store_id"]
-    upto = Window.partitionBy(*group).orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        staff.unionByName(peers)
-        .withColumn("_lower", F.sum("_peer").over(upto) - F.sum("_peer").over(Window.partitionBy(*group, "_v")))
-        .withColumn("_peers", F.sum("_peer").over(Window.partitionBy(*group)))
-        .where(F.col("_peer") == 0)
-    )
+    peers = by_store.withColumn("_peer", F.lit(1))
+    everyone = staff.unionByName(peers)
+    lower = ordered.lower_totals(everyone, group, "_v", "_peer", "_lower")
+    size = peers.groupBy(*group).agg(F.count(F.lit(1)).alias("_peers"))
+    ranked = staff.join(lower, [*group, "_v"]).join(size, group, "left").fillna(0, ["_peers"])
     score = (
         F.when(F.col("_peers") == 0, 50.0)
         .when(F.col("_peers") == 1, 75.0)

@@ -122,10 +122,47 @@ def _score_row(facts: DataFrame, table: str, dimension: str, score: Column, fail
     )
 
 
+def table_scores(target: Target, check_date: str, store_ids=None) -> DataFrame:
+    """The three score rows of a table from one scan."""
+    day = F.lit(check_date).cast("date")
+    due = F.to_date(target.date_col) <= day
+    columns, rules = target.columns[:MAX_COLUMNS], list(target.rules.values())
+    counts = scope_stores(target.df, store_ids).agg(
+        F.count_if(due).alias("_n"),
+        F.to_date(F.max(target.date_col)).alias("_newest"),
+        *[F.count_if(due & F.col(c).isNull()).alias(f"_c{i}") for i, c in enumerate(columns)],
+        *[F.count_if(due & r).alias(f"_r{i}") for i, r in enumerate(rules)],
+    )
+    zero = F.lit(0).cast("long")
+    nulls = reduce(lambda a, b: a + b, [F.col(f"_c{i}") for i in range(len(columns))], zero)
+    broken = reduce(lambda a, b: a + b, [F.col(f"_r{i}") for i in range(len(rules))], zero)
+    n, cells = F.col("_n"), F.col("_n") * len(columns)
+    age = F.datediff(day, "_newest")
+    fresh = (
+        F.when(F.col("_newest").isNull(), 0.0)
+        .when(age <= FRESH_DAYS, 100.0)
+        .otherwise(F.greatest(F.lit(0.0), 100.0 - (age - FRESH_DAYS) * 15))
+    )
+    one = F.when(F.col("_newest").isNull(), 0).otherwise(1).cast("long")
+    row = lambda name, score, total, failed: F.struct(
+        F.lit(name).alias("dimension"),
+        F.greatest(F.lit(0.0), round_to(score, 2)).alias("score"),
+        total.alias("total_records"),
+        failed.alias("failed_records"),
+    )
+    rows = F.array(
+        row("completeness", F.when(cells > 0, (1 - nulls / cells) * 100).otherwise(100.0), n, nulls),
+        row("accuracy", F.when(n > 0, F.least((1 - broken / n) * 100, F.lit(100.0))).otherwise(100.0), n, broken),
+        row("timeliness", fresh, one, F.when(age > FRESH_DAYS, 1).otherwise(0).cast("long")),
+    )
+    return counts.select(F.explode(rows).alias("_s")).select(
+        F.lit(target.name).alias("target_table"), "_s.*", day.alias("score_date")
+    )
+
+
 def quality_scores(targets: list[Target], check_date: str, store_ids=None) -> DataFrame:
     """Table by dimension grid."""
-    rows = [check(t, check_date, store_ids) for t in targets for check in (completeness, accuracy, timeliness)]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, [table_scores(t, check_date, store_ids) for t in targets])
 
 
 def health(scores: DataFrame, alerts: DataFrame | None = None) -> DataFrame:

@@ -84,7 +84,7 @@ cl AS (SELECT CAST(sid AS BIGINT) AS store_id, d AS sale_date, receipt_no, item_
 
 @query("clean_sales_feed", f"WITH {_KEYED} SELECT * FROM cl")
 def clean_sales_feed(t):
-    return cleaning.clean(_dirty(t), "sales").rows
+    return cleaning.clean_rows(_dirty(t), "sales")
 
 
 @query(
@@ -94,7 +94,7 @@ WITH g AS (SELECT *, count(*) AS n FROM ({_DIRTY_DUCK}) GROUP BY ALL)
 SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, count(*) FILTER (receipt_no IS NULL OR TRY_CAST(store_id AS DOUBLE) IS NULL) AS error_rows FROM g""",
 )
 def clean_sales_counts(t):
-    return cleaning.clean(_dirty(t), "sales").stats
+    return cleaning.clean_stats(_dirty(t), "sales")
 
 
 @query(
@@ -215,7 +215,9 @@ def stream_sequence_gaps(t):
     ticks = _event_stream(t).where(F.col("event_id") % 13 != 0).select(
         (F.col("event_id") % 5).alias("source_id"), F.floor(F.col("event_id") / 5).alias("seq"), F.col("ts").alias("received_at")
     )
-    return feeds.collect_stream(feeds.sequence_gaps(ticks))
+    root = f"{checkpoint_root(t.spark)}/ticks-{uuid.uuid4().hex}"
+    feeds.stream_sequence_gaps(ticks, root)
+    return t.spark.read.parquet(f"{root}/gaps").select("source_id", "seq", "previous_seq", "dropped")
 
 
 @query(

@@ -8,15 +8,13 @@ makes every sink exactly-once. Nothing is gathered on the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from aisle.operators import cleaning, marketing, port
-from aisle.session import checkpoint_root
+from aisle.session import checkpoint_root, cut_lineage
 from aisle.sources.sinks import _exists, _read_like, absent_rows, first_per_key
 
 WATERMARK = "10 minutes"
@@ -67,30 +65,6 @@ def peak_alarms(readings: DataFrame, equipment: DataFrame, share: float = 0.9) -
     )
 
 
-def _missing_numbers(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-    last = state.get[0] if state.exists else 0
-    for batch in batches:
-        seq = batch.sort_values(["received_at", "seq"])["seq"]
-        before = seq.shift(1, fill_value=last)
-        hit = (before > 0) & (seq > before + 1)
-        yield pd.DataFrame(
-            {"source_id": key[0], "seq": seq[hit], "previous_seq": before[hit], "dropped": seq[hit] - before[hit] - 1}
-        )
-        last = int(seq.iloc[-1])
-    state.update((last,))
-
-
-def sequence_gaps(ticks: DataFrame) -> DataFrame:
-    """Ticks after which numbers are missing; the last number of a source is its state."""
-    return ticks.groupBy("source_id").applyInPandasWithState(
-        _missing_numbers,
-        "source_id long, seq long, previous_seq long, dropped long",
-        "last long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def run_available(
     stream: DataFrame, write_batch: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None
 ) -> None:
@@ -125,6 +99,33 @@ def collect_stream(stream: DataFrame, mode: str = "append", keys: list[str] | No
     return stored.groupBy(*keys).agg(F.max_by(payload, "batch").alias("_row")).select(*keys, "_row.*")
 
 
+def stream_sequence_gaps(ticks: DataFrame, root: str, checkpoint: str | None = None) -> None:
+    """Ticks after which numbers are missing, under ``root/gaps``.
+
+    The last tick of every source is written per batch and heads the next one. The
+    gaps of a batch come from the bucketed lag, so a source with very many ticks
+    is spread over its hours.
+    """
+    spark = ticks.sparkSession
+    columns = ["source_id", "seq", "received_at"]
+
+    def find(df: DataFrame, batch_id: int) -> None:
+        rows = df.select(*columns)
+        before = f"{root}/last/batch={batch_id - 1}"
+        if _exists(spark, before):
+            known = _read_like(before, df.select(*columns))
+            rows = rows.unionByName(known)
+        rows = cut_lineage(rows)
+        gaps = port.sequence_gaps(rows)
+        gaps.write.mode("overwrite").parquet(f"{root}/gaps/batch={batch_id}")
+        last = rows.groupBy("source_id").agg(F.max(F.struct("received_at", "seq")).alias("_l"))
+        last.select("source_id", "_l.seq", "_l.received_at").write.mode("overwrite").parquet(
+            f"{root}/last/batch={batch_id}"
+        )
+
+    run_available(ticks, find, "append", checkpoint)
+
+
 def stream_import(
     spark: SparkSession, stream: DataFrame, entity: str, target: str, checkpoint: str | None = None
 ) -> None:
@@ -136,7 +137,7 @@ def stream_import(
     keys = cleaning.CONFLICT_KEYS[entity]
 
     def load(df: DataFrame, batch_id: int) -> None:
-        rows = cleaning.clean(df, entity).rows
+        rows = cleaning.clean_rows(df, entity)
         order = [F.struct(*[c for c in rows.columns if c not in keys])]
         own = f"{target}/batch={batch_id}"
         if _exists(spark, target):
