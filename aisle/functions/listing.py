@@ -61,7 +61,7 @@ def global_rank(
     cuts = df.agg(F.percentile_approx(value, fractions, 10 * buckets).alias("_cuts"))
     ranged = df.join(F.broadcast(cuts)).withColumn(
         "_range",
-        F.coalesce(F.size(F.filter("_cuts", lambda c: c > F.col(value))), F.lit(buckets)),
+        F.when(F.col(value).isNull(), buckets).otherwise(F.size(F.filter("_cuts", lambda c: c > F.col(value)))),
     )
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     above = sizes.select(

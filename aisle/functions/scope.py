@@ -86,5 +86,5 @@ def match_or_null(df: DataFrame, col: str, value) -> DataFrame:
 def targets_item(targets: Column, item: Column, exact: bool = False) -> Column:
     """Item named in a delimited list. Substring match unless ``exact``."""
     if exact:
-        return F.array_contains(F.transform(F.split(targets, "[,;]"), F.trim), item)
+        return F.array_contains(F.transform(F.split(targets, "[,;]"), lambda part: F.trim(part)), item)
     return targets.contains(item)

@@ -117,7 +117,9 @@ def pearson_p(r: Column, n: Column) -> Column:
 def correlation(x: str, y: str) -> list[Column]:
     """r and point count; r is 0 when a side is constant or fewer than three points exist."""
     n = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
-    r = F.corr(x, y)
+    # The built-in correlation fails on a constant side under ANSI rules.
+    spread = F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) * F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y)))
+    r = F.try_divide(F.covar_pop(x, y), spread)
     return [
         F.when((n < 3) | r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r).alias("r"),
         n.alias("points"),

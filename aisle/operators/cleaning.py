@@ -86,7 +86,8 @@ def drop_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lenient_number(c: str) -> Column:
-    return F.col(c).try_cast("double")
+    """Number, or null for text and for a literal NaN."""
+    return F.nullif(F.col(c).try_cast("double"), F.lit(float("nan")))
 
 
 def lenient_date(c: str) -> Column:

@@ -259,7 +259,7 @@ def violations(log: DataFrame, people: DataFrame, start=None, end=None, top: int
         rows = rows.where(F.col("schedule_date") >= F.lit(start).cast("date"))
     if end:
         rows = rows.where(F.col("schedule_date") <= F.lit(end).cast("date"))
-    newest = top_k(rows, [F.desc("created_at"), F.asc("shift_id"), F.asc("position")], top)
+    newest = top_k(rows, [F.desc("created_at"), F.asc("shift_id"), F.asc("position"), F.asc("id")], top)
     return newest.join(
         people.select(F.col("id").alias("personnel_id"), F.col("name").alias("personnel_name")), "personnel_id", "left"
     )

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from aisle.plans.registry import ORACLES, PLANS
 
-MODULES = ["stores", "customers", "products", "supply_chain", "employees", "space", "forecasting", "meters", "baskets", "feeds"]
+MODULES = ["stores", "customers", "products", "supply_chain", "employees", "space", "forecasting", "meters", "baskets", "feeds", "listings"]
 
 
 def load() -> None:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aisle.operators import cleaning, marketing, port
 from aisle.session import checkpoint_root, cut_lineage
@@ -141,7 +142,8 @@ def stream_import(
         order = [F.struct(*[c for c in rows.columns if c not in keys])]
         own = f"{target}/batch={batch_id}"
         if _exists(spark, target):
-            stored = spark.read.schema(rows.schema.add("batch", "long")).parquet(target)
+            with_batch = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+            stored = spark.read.schema(with_batch).parquet(target)
             fresh = absent_rows(stored.where(F.col("batch") != batch_id), rows, keys, order)
         else:
             fresh = first_per_key(rows, keys, order)
