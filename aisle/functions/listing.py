@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aisle.session import cut_lineage
+
 RANK_BUCKETS = 64
 
 
@@ -56,6 +58,8 @@ def global_rank(
     Here approximate splitters cut the value axis into a fixed number of ranges,
     each range is numbered on its own and shifted by the sizes of the ranges above.
     """
+    # Read three times below: the facts behind the ranked rows should be scanned once.
+    df = cut_lineage(df, "rank")
     fractions = [i / buckets for i in range(1, buckets)]
     # Ranges are positions in this fixed-length array, so the count table has at most ``buckets`` rows.
     cuts = df.agg(F.percentile_approx(value, fractions, 10 * buckets).alias("_cuts"))

@@ -11,6 +11,7 @@ from aisle.functions.listing import latest_snapshot
 from aisle.functions.scalars import money_sum, round_to
 from aisle.functions.scope import scope_stores
 from aisle.functions.stats import bounded_quantiles
+from aisle.session import cut_lineage
 
 MIN_DAYS = 7
 
@@ -124,6 +125,7 @@ def anomaly_feed(
             stock_threshold_anomalies(scope_stores(inventory, store_ids)), allowMissingColumns=True
         )
     )
+    merged = cut_lineage(merged, "anomalies")
     total = merged.agg(F.count(F.lit(1)).alias("total_anomalies"))
     worst = merged.orderBy(
         F.desc("severity_score"), "type", "store_id", "date", F.asc_nulls_first("item_id")

@@ -12,7 +12,7 @@ from aisle.functions import ordered
 from aisle.functions.stats import exact_quantiles
 from aisle.session import cut_lineage
 from aisle.sources.feeds import read_feed
-from aisle.sources.sinks import _exists, _read_like, absent_rows, first_per_key, load_atomic, stage
+from aisle.sources.sinks import _exists, _read_like, absent_rows, first_per_key, load_atomic
 
 # Columns that must be present, keys that must be filled, and keys of stored rows.
 REQUIRED = {
@@ -119,8 +119,9 @@ def interpolate(
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
+    # The fill reads its input twice; what stands before it (coercion, dedupe) should run once.
     filled = ordered.interpolate(
-        df.withColumn("_bucket", bucket), columns, [group], "_bucket", [F.col(c).asc_nulls_first() for c in order]
+        cut_lineage(df.withColumn("_bucket", bucket)), columns, [group], "_bucket", [F.col(c).asc_nulls_first() for c in order]
     ).drop("_bucket")
     if not median_fallback:
         return filled.fillna(0.0, columns)
@@ -254,7 +255,7 @@ def run_import(spark: SparkSession, path: str, entity: str, target: str) -> dict
     """One import: read, clean, drop rows whose key is stored already, publish all or nothing."""
     feed = cut_lineage(read_feed(spark, path))
     cleaned = clean(feed, entity)
-    rows, _ = stage(cleaned.rows, f"clean-{entity}")
+    rows = cut_lineage(cleaned.rows, f"clean-{entity}")
     keys = CONFLICT_KEYS.get(entity)
     if keys is None:
         fresh = rows
@@ -266,7 +267,7 @@ def run_import(spark: SparkSession, path: str, entity: str, target: str) -> dict
             if _exists(spark, target)
             else first_per_key(rows, keys, by_value)
         )
-    kept, _ = stage(fresh, f"fresh-{entity}")
+    kept = cut_lineage(fresh, f"fresh-{entity}")
     counts = cleaned.stats.first()
     clean_rows, inserted = rows.count(), kept.count()
     load_atomic(kept, target)

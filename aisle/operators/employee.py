@@ -11,6 +11,7 @@ from aisle.functions import ordered
 from aisle.functions.listing import global_rank, top_k
 from aisle.functions.scalars import clamp, money_sum, round_to
 from aisle.functions.scope import scope_stores, where_optional
+from aisle.session import cut_lineage
 
 PARTS = ["sales", "service", "attendance", "training"]
 # Weights of a store without its own row.
@@ -189,6 +190,7 @@ def employee_trend(scores: DataFrame) -> DataFrame:
 
 def peer_comparison(scores: DataFrame) -> DataFrame:
     """Each employee beside the mean of the other active ones of the store and of the chain."""
+    scores = cut_lineage(scores, "scores")
     own = F.col("is_active").cast("int")
 
     def totals(scope: str, keys: list[str]) -> DataFrame:

@@ -67,11 +67,13 @@ def energy_by_type(daily: DataFrame, equipment: DataFrame, start: str, end: str,
     rows = scope_stores(between_dates(daily, "energy_date", start, end), store_ids)
     per_device = rows.groupBy("equipment_id").agg(money_sum("total_kwh").alias("_k"), money_sum("cost").alias("_c"))
     types = equipment.select(F.col("id").alias("equipment_id"), "equipment_type")
-    by_type = per_device.join(types, "equipment_id").groupBy("equipment_type").agg(
-        money_sum("_k").alias("_kwh"), money_sum("_c").alias("_cost")
+    # Devices without an entry count in the total but have no row of their own.
+    by_type = per_device.join(types, "equipment_id", "left").groupBy("equipment_type").agg(
+        money_sum("_k").alias("_kwh"), money_sum("_c").alias("_cost"), money_sum("_k").alias("_all")
     )
-    total = per_device.agg(money_sum("_k").alias("_total"))
-    return by_type.join(F.broadcast(total)).select(
+    everything = Window.partitionBy(F.lit(1))
+    total = F.sum(F.col("_all").cast("decimal(28,4)")).over(everything).cast("double")
+    return by_type.withColumn("_total", total).where(F.col("equipment_type").isNotNull()).select(
         "equipment_type",
         round_to("_kwh", 2).alias("total_kwh"),
         round_to("_cost", 2).alias("total_cost"),

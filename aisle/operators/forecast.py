@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisle.functions.scalars import money_sum, round_to
+from aisle.session import cut_lineage
 
 PERIOD = 7
 SMOOTHING_PASSES = 3
@@ -44,6 +45,14 @@ def daily_series(sales: DataFrame, as_of: str, by: str = "store_id", fill_gaps:
     """
     recent = sales.where(F.col("sale_date") >= F.date_sub(F.lit(as_of).cast("date"), HISTORY_DAYS))
     daily = recent.groupBy(by, "sale_date").agg(money_sum("total_amount").alias("value"))
+    return series_of(daily, as_of, by, fill_gaps)
+
+
+def series_of(daily: DataFrame, as_of: str, by: str = "store_id", fill_gaps: bool = False) -> DataFrame:
+    """``daily_series`` from day totals that exist already."""
+    daily = daily.where(F.col("sale_date") >= F.date_sub(F.lit(as_of).cast("date"), HISTORY_DAYS)).select(
+        by, "sale_date", "value"
+    )
     if fill_gaps:
         span = daily.groupBy(by).agg(F.min("sale_date").alias("_lo"), F.max("sale_date").alias("_hi"))
         calendar = span.select(by, F.explode(F.sequence("_lo", "_hi")).alias("sale_date"))
@@ -208,16 +217,24 @@ def sales_forecast(
     positional_weather: bool = False, per_line_lift: bool = False,
 ) -> DataFrame:
     """Forecast and interval per store and day: holidays, promotions, weather, floor at zero."""
-    fitted = model(decompose(daily_series(sales, as_of)))
+    if promotions is None:
+        series = daily_series(sales, as_of)
+    else:
+        # Day totals serve the series and the promotion history: one scan of the sales.
+        daily = cut_lineage(
+            sales.groupBy("store_id", "sale_date").agg(
+                money_sum("total_amount").alias("value"), F.count(F.lit(1)).alias("lines")
+            ),
+            "daily",
+        )
+        series = series_of(daily, as_of)
+    fitted = model(decompose(series))
     grid = project(fitted, periods).withColumn("date", F.date_add("last_date", F.col("step")))
     flag = holiday_flag(F.col("date"))
     grid = grid.withColumn("is_holiday", flag > 0).withColumn(
         "value", F.col("base") * F.when(flag > 0, 1.0 + F.col("holiday_effect") * flag).otherwise(1.0)
     )
     if promotions is not None:
-        daily = sales.groupBy("store_id", "sale_date").agg(
-            money_sum("total_amount").alias("value"), F.count(F.lit(1)).alias("lines")
-        )
         factors = promo_factors(promotions, promo_lift(daily, promotions, per_line_lift), as_of)
         grid = grid.join(factors, ["store_id", "date"], "left").withColumn(
             "value", F.col("value") * F.coalesce("promo_factor", F.lit(1.0))

@@ -83,10 +83,8 @@ def member_lifecycle(members: DataFrame, transactions: DataFrame, as_of: str) ->
 
 def lifecycle_distribution(classified: DataFrame) -> DataFrame:
     counts = classified.groupBy(F.col("lifecycle_stage").alias("stage")).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("_total"))
-    return counts.join(F.broadcast(total)).select(
-        "stage", "count", round_to(F.col("count") / F.col("_total") * 100, 1).alias("percentage")
-    )
+    total = F.sum("count").over(Window.partitionBy(F.lit(1)))
+    return counts.select("stage", "count", round_to(F.col("count") / total * 100, 1).alias("percentage"))
 
 
 def birthday_members(members: DataFrame, as_of: str, by_parts: bool = False) -> DataFrame:

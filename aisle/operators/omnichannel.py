@@ -11,6 +11,7 @@ from aisle.functions import ordered
 from aisle.functions.listing import latest_snapshot
 from aisle.functions.scalars import money_sum, round_to, safe_div, time_bucket
 from aisle.functions.scope import between_dates, scope_stores
+from aisle.session import cut_lineage
 
 HALF_LIFE_DAYS = 7.0
 FUNNEL_STEPS = ["browse", "add_cart", "purchase", "repeat_purchase"]
@@ -35,11 +36,9 @@ def channel_kpis(channel_sales: DataFrame, start: str, end: str, store_ids=None)
         F.countDistinct(F.when(now, F.col("receipt_no"))).alias("order_count"),
         F.countDistinct(F.when(now, F.col("member_id"))).alias("member_count"),
     ).where(F.col("_lines") > 0)
-    totals = per_channel.agg(
-        round_to(F.sum(F.col("_gmv").cast("decimal(28,4)")).cast("double"), 2).alias("total_gmv"),
-        F.sum("order_count").alias("total_orders"),
-    )
-    return per_channel.join(F.broadcast(totals)).select(
+    # One row per channel: a window over all of them costs less than a second scan.
+    everything = Window.partitionBy(F.lit(1))
+    return per_channel.select(
         "channel",
         round_to("_gmv", 2).alias("gmv"),
         "order_count",
@@ -48,8 +47,8 @@ def channel_kpis(channel_sales: DataFrame, start: str, end: str, store_ids=None)
         round_to(
             F.when(F.col("_before") > 0, (F.col("_gmv") - F.col("_before")) / F.col("_before") * 100), 2
         ).alias("growth_rate_pct"),
-        "total_gmv",
-        "total_orders",
+        round_to(F.sum(F.col("_gmv").cast("decimal(28,4)")).over(everything).cast("double"), 2).alias("total_gmv"),
+        F.sum("order_count").over(everything).alias("total_orders"),
     )
 
 
@@ -100,7 +99,9 @@ def touch_state(touches: DataFrame, converted_days: DataFrame, end: str) -> Data
     )
     # Masses are brought to the common end date; the shift cancels in the shares.
     age = F.datediff(F.lit(end).cast("date"), "day")
-    folded = folded.withColumn("_mass", F.col("_mass") * F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS))
+    folded = cut_lineage(
+        folded.withColumn("_mass", F.col("_mass") * F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS)), "touches"
+    )
     asked = converted_days.join(folded.select("member_id", "channel").distinct(), "member_id")
     timeline = folded.withColumn("_asked", F.lit(False)).unionByName(
         asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True
@@ -134,10 +135,11 @@ def attribution(
     channel_sales: DataFrame, events: DataFrame, start: str, end: str, model: str = "last_touch", store_ids=None
 ) -> DataFrame:
     """Revenue and orders credited to channels: last_touch, first_touch, linear or time_decay."""
-    per_day = (
+    per_day = cut_lineage(
         conversions(channel_sales, start, end, store_ids)
         .groupBy("member_id", F.col("sale_date").alias("day"), F.col("channel").alias("own_channel"))
-        .agg(money_sum("amount").alias("amount"), F.count(F.lit(1)).alias("orders"))
+        .agg(money_sum("amount").alias("amount"), F.count(F.lit(1)).alias("orders")),
+        "conversions",
     )
     touches = scope_stores(events, store_ids)
     shares = (
@@ -152,8 +154,8 @@ def attribution(
         (F.col("orders") * F.coalesce("share", F.lit(1.0))).alias("_orders"),
     )
     by_channel = credited.groupBy("channel").agg(F.sum("_gmv").alias("_gmv"), F.sum("_orders").alias("_orders"))
-    total = by_channel.agg(F.sum("_gmv").alias("_total"))
-    return by_channel.join(F.broadcast(total)).select(
+    total = F.sum("_gmv").over(Window.partitionBy(F.lit(1)))
+    return by_channel.withColumn("_total", total).select(
         "channel",
         round_to("_gmv", 2).alias("attributed_gmv"),
         F.round(round_to("_orders", 6)).cast("long").alias("attributed_orders"),

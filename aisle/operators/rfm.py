@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aisle.functions.scalars import money_sum, round_to
 from aisle.functions.scope import scope_stores
 from aisle.functions.stats import bounded_quantiles, exact_quantiles
+from aisle.session import cut_lineage
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -58,6 +59,7 @@ def rfm_scores(base: DataFrame) -> DataFrame:
     Days and receipt counts have few distinct values; money does not and goes
     through the range-split quantile.
     """
+    base = cut_lineage(base, "rfm")
     small = base.agg(
         bounded_quantiles("recency", QUARTILES).alias("_rq"),
         bounded_quantiles("frequency", QUARTILES).alias("_fq"),

@@ -95,27 +95,28 @@ def zone_heatmap(
     zones: DataFrame, facts: DataFrame, start: str, end: str, floor_plans: DataFrame | None = None, store_ids=None
 ) -> DataFrame:
     """Zone revenue as a share of the store's best zone, with the plan size of the store."""
-    rows = _zone_totals(zones, facts, start, end, store_ids)
+    store = Window.partitionBy("store_id")
     extent = lambda a, b: F.coalesce(
-        F.nullif(F.max(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))), F.lit(0.0)), F.lit(100.0)
+        F.nullif(F.max(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))).over(store), F.lit(0.0)), F.lit(100.0)
     )
-    peak = F.max("revenue")
-    per_store = rows.groupBy("store_id").agg(
-        F.when(peak == 0, 1.0).otherwise(peak).alias("_peak"),
-        extent(F.col("position_x"), F.col("width")).alias("plan_width"),
-        extent(F.col("position_y"), F.col("height")).alias("plan_height"),
+    peak = F.max("revenue").over(store)
+    rows = (
+        _zone_totals(zones, facts, start, end, store_ids)
+        .withColumn("_peak", F.when(peak == 0, 1.0).otherwise(peak))
+        .withColumn("plan_width", extent(F.col("position_x"), F.col("width")))
+        .withColumn("plan_height", extent(F.col("position_y"), F.col("height")))
     )
     if floor_plans is not None:
         drawn = floor_plans.where(F.col("floor") == 1).select(
             "store_id", F.col("plan_width").alias("_w"), F.col("plan_height").alias("_h")
         )
-        per_store = (
-            per_store.join(drawn, "store_id", "left")
+        rows = (
+            rows.join(drawn, "store_id", "left")
             .withColumn("plan_width", F.coalesce("_w", "plan_width"))
             .withColumn("plan_height", F.coalesce("_h", "plan_height"))
             .drop("_w", "_h")
         )
-    return rows.join(per_store, "store_id").select(
+    return rows.select(
         "store_id", "zone_id", "zone_name", "position_x", "position_y", "width", "height",
         round_to(F.col("revenue") / F.col("_peak"), 4).alias("intensity"),
         round_to("revenue", 2).alias("revenue"), "plan_width", "plan_height",

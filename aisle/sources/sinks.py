@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisle.session import checkpoint_root
+from aisle.session import cut_lineage
 
 
 def merge_rows(target: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str]) -> DataFrame:
@@ -61,13 +61,6 @@ def _read_like(path: str, df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write an intermediate to the shared folder and read it back."""
-    path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def append_facts(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -78,12 +71,12 @@ def insert_if_absent(
 ) -> dict[str, int]:
     """Append the rows with new keys; first writer wins. Returns inserted and conflict counts."""
     spark = batch.sparkSession
-    rows, _ = stage(batch, "insert")
+    rows = cut_lineage(batch, "insert")
     if _exists(spark, path):
         fresh = absent_rows(_read_like(path, rows), rows, keys, order)
     else:
         fresh = first_per_key(rows, keys, order)
-    kept, _ = stage(fresh, "fresh")
+    kept = cut_lineage(fresh, "fresh")
     total, inserted = rows.count(), kept.count()
     append_facts(kept, path, partition_by)
     return {"inserted": inserted, "conflicts": total - inserted}
@@ -109,9 +102,9 @@ def upsert(path: str, updates: DataFrame, keys: list[str], update_cols: list[str
     if not _exists(spark, path):
         append_facts(updates, path, partition_by)
         return
-    rows, _ = stage(updates, "upsert")
+    rows = cut_lineage(updates, "upsert")
     old = _touching(_read_like(path, rows), rows.select(*partition_by).distinct(), partition_by)
-    merged, _ = stage(merge_rows(old, rows, keys, update_cols), "merged")
+    merged = cut_lineage(merge_rows(old, rows, keys, update_cols), "merged")
     _overwrite_partitions(merged, path, partition_by)
 
 
@@ -121,7 +114,7 @@ def replace_slice(path: str, new: DataFrame, slice_cols: list[str], slices: Data
     ``slices`` names slices to clear even where ``new`` has no row for them.
     """
     spark = new.sparkSession
-    staged, _ = stage(new, "slice")
+    staged = cut_lineage(new, "slice")
     if not _exists(spark, path):
         append_facts(staged, path, slice_cols)
         return
