@@ -18,8 +18,12 @@ def money_sum(c: Column | str) -> Column:
     Amounts become whole ten-thousandths; the decimal total cannot overflow, and a
     long is far cheaper to turn into a decimal than a double is.
     """
-    units = F.rint(as_column(c) * UNITS).cast("long").cast("decimal(18,0)")
-    return F.sum(units).cast("double") / UNITS
+    return F.sum(money_units(c)).cast("double") / UNITS
+
+
+def money_units(c: Column | str) -> Column:
+    """Amount in whole ten-thousandths, ready for an exact sum."""
+    return F.rint(as_column(c) * UNITS).cast("long").cast("decimal(18,0)")
 
 
 def money_avg(c: Column | str) -> Column:

@@ -57,13 +57,10 @@ def item_categories(sales: DataFrame) -> DataFrame:
     return sales.where(F.col("category").isNotNull()).groupBy(SLICE, ITEM).agg(F.min("category").alias("category"))
 
 
-def item_thresholds(basket_rows: DataFrame, sales: DataFrame, base: float) -> DataFrame:
-    """Adaptive minimum support per slice and item."""
-    items = basket_rows.select(SLICE, ITEM).distinct()
+def item_thresholds(sales: DataFrame, base: float) -> DataFrame:
+    """Adaptive minimum support per slice and item; an item without a category has none and keeps the base."""
     supports = item_categories(sales).join(category_support(sales, base), [SLICE, "category"])
-    return items.join(supports.select(SLICE, ITEM, "min_support"), [SLICE, ITEM], "left").fillna(
-        base, ["min_support"]
-    )
+    return supports.select(SLICE, ITEM, "min_support")
 
 
 def _frequent_items(basket_rows: DataFrame, thresholds: DataFrame | None, base: float) -> DataFrame:
@@ -296,7 +293,7 @@ def analyse(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rules, itemsets and basket counts of every slice."""
     rows = cut_lineage(baskets(sales, category, min_items))
-    thresholds = item_thresholds(rows, sales, min_support) if adaptive else None
+    thresholds = item_thresholds(sales, min_support) if adaptive else None
     itemsets = cut_lineage(frequent_itemsets(rows, min_support, thresholds, max_k))
     counts = basket_count(rows)
     return association_rules(itemsets, counts, min_confidence), itemsets, counts

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisle.functions.listing import global_rank
-from aisle.functions.scalars import metric_expr, money_sum, round_to, safe_div
+from aisle.functions.scalars import UNITS, metric_expr, money_sum, money_units, round_to, safe_div
 from aisle.functions.scope import between_dates, scope_stores
 
 
@@ -21,12 +21,17 @@ def kpi_summary(
     """
     days = (date.fromisoformat(end) - date.fromisoformat(start)).days + 1
     lines = scope_stores(between_dates(sales, "sale_date", start, end), store_ids)
-    facts = lines.agg(
-        F.coalesce(money_sum("total_amount"), F.lit(0.0)).alias("_gmv"),
+    # Lines fold to receipts first, so the distinct counts expand receipts and not lines.
+    receipts = lines.groupBy(*dict.fromkeys([*receipt_key, "store_id", "member_id"])).agg(
+        F.sum(money_units("total_amount")).alias("_g"), F.sum(money_units("discount_amount")).alias("_d")
+    )
+    total = lambda c: F.coalesce(F.sum(c).cast("double") / UNITS, F.lit(0.0))
+    facts = receipts.agg(
+        total("_g").alias("_gmv"),
         F.countDistinct(*receipt_key).alias("total_orders"),
         F.countDistinct("store_id").alias("active_stores"),
         F.countDistinct("member_id").alias("active_members"),
-        F.coalesce(money_sum("discount_amount"), F.lit(0.0)).alias("_discount"),
+        total("_d").alias("_discount"),
     )
     area = scope_stores(stores.where("is_active"), store_ids, "id").agg(
         F.greatest(F.coalesce(F.sum("area_sqm"), F.lit(1.0)), F.lit(1.0)).alias("_area")

@@ -57,8 +57,7 @@ TOP = f"tp AS (SELECT * FROM rules WHERE lift >= {MIN_LIFT} QUALIFY row_number()
 
 def _sets(t, max_k=3):
     lines = _lines(t)
-    rows = basket.baskets(lines)
-    return basket.frequent_itemsets(rows, BASE, basket.item_thresholds(rows, lines, BASE), max_k)
+    return basket.frequent_itemsets(basket.baskets(lines), BASE, basket.item_thresholds(lines, BASE), max_k)
 
 
 def _rules(t):
