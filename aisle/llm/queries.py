@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import exact_dedup, sharding
+from aisle.llm import bpe, exact_dedup, sharding
 from aisle.llm.common import documents
 
 TREE = sharding.even_tree(8)
 GROWN = sharding.grown(TREE, 8)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -21,7 +25,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), TREE, GROWN)
 
 
-QUERIES = [op7_exact_dedup, op9_sharding]
+QUERIES = [op2_bpe, op7_exact_dedup, op9_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
