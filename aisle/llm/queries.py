@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import bpe, exact_dedup, sharding
-from aisle.llm.common import documents
+from aisle.llm import bpe, exact_dedup, language_id, sharding, toxicity
+from aisle.llm.common import documents, table
 
 TREE = sharding.even_tree(8)
 GROWN = sharding.grown(TREE, 8)
@@ -17,15 +17,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), TREE, GROWN)
 
 
-QUERIES = [op2_bpe, op7_exact_dedup, op9_sharding]
+QUERIES = [op2_bpe, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
