@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import bpe, exact_dedup, language_id, sharding, toxicity
+from aisle.llm import bpe, exact_dedup, language_id, line_dedup, quality, sharding, toxicity
 from aisle.llm.common import documents, table
 
 TREE = sharding.even_tree(8)
@@ -17,6 +17,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -33,7 +41,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), TREE, GROWN)
 
 
-QUERIES = [op2_bpe, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding]
+QUERIES = [op2_bpe, op3_quality_rules, op4_line_dedup, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -41,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE, "op9_sharding": sharding.oracle(TREE, GROWN)}
+    return {"op4_line_dedup": line_dedup.oracle(), "op7_exact_dedup": exact_dedup.ORACLE, "op9_sharding": sharding.oracle(TREE, GROWN)}
