@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import bpe, exact_dedup, language_id, line_dedup, quality, sharding, toxicity
+from aisle.llm import bpe, exact_dedup, language_id, line_dedup, ngram_join, quality, sharding, substring_dedup, toxicity
 from aisle.llm.common import documents, table
 
 TREE = sharding.even_tree(8)
 GROWN = sharding.grown(TREE, 8)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir))
 
@@ -41,7 +45,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), TREE, GROWN)
 
 
-QUERIES = [op2_bpe, op3_quality_rules, op4_line_dedup, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding]
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(documents(spark, sf_dir))
+
+
+QUERIES = [op1_substring_dedup, op2_bpe, op3_quality_rules, op4_line_dedup, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding, op10_ngram_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
