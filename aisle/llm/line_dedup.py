@@ -72,7 +72,8 @@ def _recurring(docs: DataFrame, placed: DataFrame) -> DataFrame:
     wanted = cut_lineage(wanted, "wanted")
     by_doc = wanted.groupBy("doc_id", "body").agg(F.collect_set("no").alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = texts.join(by_doc, texts["id"].eqNullSafe(by_doc["doc_id"]) & (texts["text_hash"] == by_doc["body"]))
+    # The list grows with the corpus, so it is merged with the texts and never sent to all tasks.
+    texts = texts.join(by_doc.hint("merge"), texts["id"].eqNullSafe(by_doc["doc_id"]) & (texts["text_hash"] == by_doc["body"]))
     picked = texts.select("wanted", _lines(F.col("text")).alias("lines"))
     picked = picked.select(F.explode(F.transform("wanted", lambda no: F.get("lines", no))).alias("words")).distinct()
     picked = picked.select(
