@@ -24,15 +24,17 @@ LEAST_DOCUMENTS = 10
 #: Share of a line's tokens that must be constant.
 CONSTANT_SHARE = 0.7
 
-BLANKS = r"[\x20\x09\x0B-\x0D]+"
+#: Runs of blanks that are not a single space; a single one stays as it is.
+BLANKS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 NUMBERED = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 FIELD = "<*>"
 
 
 def _lines(text: Column) -> Column:
     """Lines with blanks folded and tokens that hold a digit replaced by the field mark."""
-    folded = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), NUMBERED, FIELD)
-    return F.transform(F.split(folded, "\n", -1), lambda line: F.btrim(line, F.lit(" ")))
+    masked = lambda line: F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, NUMBERED, FIELD)).otherwise(line)
+    folded = F.regexp_replace(text, BLANKS, " ")
+    return F.transform(F.split(folded, "\n", -1), lambda line: masked(F.btrim(line, F.lit(" "))))
 
 
 def _tokens(line: Column) -> Column:
