@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import bpe, exact_dedup, language_id, line_dedup, ngram_join, quality, sharding, substring_dedup, toxicity
+from aisle.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, toxicity
 from aisle.llm.common import documents, table
 
 TREE = sharding.even_tree(8)
@@ -29,6 +29,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
+    return mixing.document_rates(docs, labelled, mixing.tempered(0.5, poor=0.25)).drop("body")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -49,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(documents(spark, sf_dir))
 
 
-QUERIES = [op1_substring_dedup, op2_bpe, op3_quality_rules, op4_line_dedup, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding, op10_ngram_join]
+QUERIES = [op1_substring_dedup, op2_bpe, op3_quality_rules, op4_line_dedup, op5_mixing, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding, op10_ngram_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
