@@ -23,10 +23,11 @@ from aisle.llm.common import fold
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5, 6)
 #: Labelled rows of each class that are fitted on; the bound that keeps the fit on the driver small.
-ROWS_PER_CLASS = 2500
+ROWS_PER_CLASS = 1500
 PENALTY = 3e-3
 ROUNDS = 60
 RATE = 0.02
+PIECE = 256
 CACHED_WORDS = 300_000
 BATCH_CHARS = 4_000_000
 
@@ -78,18 +79,30 @@ def fit(buckets: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray)
     if not len(toxic) or toxic.min() == toxic.max():
         share = 0.5 if not len(toxic) else float(np.clip(toxic.mean(), 0.01, 0.99))
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    index = np.concatenate(buckets).astype(np.int64)
-    row = np.repeat(np.arange(len(toxic)), [len(b) for b in buckets])
-    pos, neg = (np.bincount(index[toxic[row] == c], minlength=BUCKETS) for c in (1, 0))
+    number = np.array([len(b) for b in buckets])
+    cuts = np.concatenate([[0], np.cumsum(number)])
+    index = np.concatenate(buckets).astype(np.int32)
+    # Rows are worked through in pieces, so that what a step makes beside the features stays small.
+    pieces = [(i, min(i + PIECE, len(toxic))) for i in range(0, len(toxic), PIECE)]
+    counts = np.zeros((2, BUCKETS))
+    for i, j in pieces:
+        of = np.repeat(toxic[i:j], number[i:j])
+        for c in (0, 1):
+            counts[c] += np.bincount(index[cuts[i] : cuts[j]][of == c], minlength=BUCKETS)
     n_pos, n_neg = int(toxic.sum()), int((1 - toxic).sum())
-    ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
-    x = np.concatenate(values) * ratio[index].astype(np.float32)
+    ratio = np.log((counts[1] + 1) / (n_pos + 2)) - np.log((counts[0] + 1) / (n_neg + 2))
+    x = np.concatenate(values)
+    x *= ratio.astype(np.float32)[index]
     share = np.where(toxic == 1, 0.5 / n_pos, 0.5 / n_neg)
     w, m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for step in range(1, ROUNDS + 1):
-        z = w[-1] + np.bincount(row, weights=w[index] * x, minlength=len(toxic))
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic) * share
-        slope = np.append(np.bincount(index, weights=error[row] * x, minlength=BUCKETS) + PENALTY * w[:-1], error.sum())
+        slope = np.append(PENALTY * w[:-1], 0.0)
+        for i, j in pieces:
+            at, of = slice(cuts[i], cuts[j]), np.repeat(np.arange(j - i), number[i:j])
+            z = w[-1] + np.bincount(of, weights=w[index[at]] * x[at], minlength=j - i)
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic[i:j]) * share[i:j]
+            slope[:-1] += np.bincount(index[at], weights=error[of] * x[at], minlength=BUCKETS)
+            slope[-1] += error.sum()
         m = 0.9 * m + 0.1 * slope
         v = 0.99 * v + 0.01 * slope * slope
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -112,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     rows = sample.mapInPandas(_features, "toxic int, buckets binary, counts binary").toPandas()
     # Rows come in any order; sorted, the sums of the fit do not depend on it.
     rows = rows.sort_values(["toxic", "buckets", "counts"], kind="stable")
-    return fit([np.frombuffer(b, "<i4") for b in rows["buckets"]], [np.frombuffer(b, "<f4") for b in rows["counts"]], rows["toxic"].to_numpy(np.int64))
+    buckets, values = ([np.frombuffer(b, kind) for b in rows[c]] for c, kind in (("buckets", "<i4"), ("counts", "<f4")))
+    return fit(buckets, values, rows["toxic"].to_numpy(np.int64))
 
 
 def _scorer(docs: DataFrame, model: Model):
