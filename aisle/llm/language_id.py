@@ -134,7 +134,7 @@ def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     sums = bundles.select("lang", F.posexplode("bundle").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v")).orderBy("lang").collect()
     names = [r.lang for r in rows]
-    matrix = np.array([[p.value for p in r.v] for r in rows], np.float64).reshape(len(names), -1)
+    matrix = np.array([[p.value for p in r.v] for r in rows], np.float64).reshape(len(names), DIMENSIONS)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     if len(names) > 1:
         matrix = unit(matrix)

@@ -133,7 +133,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     Cases: a null text stays null and an empty one empty; a text of which every line goes is
     empty, its row stays; lines of fewer than three tokens stay; of the documents that share
     a template the one of smallest doc_id keeps its lines, a null id only where there is no
-    other; repeated rows count as documents and are treated alike; an empty table gives no
+    other; rows that repeat id and text count once and are treated alike; an empty table gives no
     rows; columns of any name are handed through.
     """
     joined, drops = _with_drops(docs)
