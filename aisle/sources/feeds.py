@@ -9,20 +9,24 @@ from pyspark.sql import types as T
 EXTRA, BROKEN = "_extra_field", "_broken_line"
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """CSV with a header as strings, plus ``_file``.
 
+    Quoted fields may hold commas, doubled quotes and line breaks. A file whose fields may
+    hold line breaks is read by one task; a feed declared without them (``line_breaks``
+    false) is split.
+
     Short lines are filled with nulls. Lines with more fields than the header are
     skipped: with one field added to the schema a line of exactly that length
     parses cleanly and a longer one fills the added field.
     """
-    names = spark.read.option("header", True).csv(path).columns
+    names = spark.read.options(header=True, escape='"', multiLine=line_breaks).csv(path).columns
     schema = T.StructType(
         [T.StructField(n, T.StringType()) for n in [*names, EXTRA]] + [T.StructField(BROKEN, T.StringType())]
     )
     lines = (
         spark.read.schema(schema)
-        .option("header", True)
+        .options(header=True, escape='"', multiLine=line_breaks)
         .option("encoding", "UTF-8")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BROKEN)

@@ -134,8 +134,8 @@ def _drop_partition(spark: SparkSession, path: str, values: dict) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Report files with a header line, one per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Report files with a header line, one per partition; quotes inside fields are doubled."""
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def load_atomic(batch: DataFrame, path: str) -> None:

@@ -180,3 +180,26 @@ def test_contact_lock_in_the_stream(spark, tmp_path):
     live.stream_triggers(stream, executions, rules, "2024-01-02 10:00:00", str(tmp_path / "state"))
     sent = spark.read.parquet(executions).where("batch >= 0").select("campaign_id", "member_id").collect()
     assert [tuple(r) for r in sent] == [(1, 1)]
+
+
+QUOTED = 'id,name,n\n1,"5"" nail, big",3\n2,"two\nlines",4\n3,plain,5\n4,"too, many",6,7,8\n5,"",\n6,short\n'
+
+
+def test_quoted_fields(spark, tmp_path):
+    found = feeds.read_feed(spark, write(tmp_path / "q", QUOTED)).drop("_file").collect()
+    rows = {r["id"]: (r["name"], r["n"]) for r in found}
+    assert len(found) == 5
+    assert rows == {"1": ('5" nail, big', "3"), "2": ("two\nlines", "4"), "3": ("plain", "5"), "5": (None, None), "6": ("short", None)}
+
+
+def test_feed_without_line_breaks_stays_split(spark, tmp_path):
+    found = feeds.read_feed(spark, write(tmp_path / "q", 'id,name\n1,"a ""b"", c"\n'), line_breaks=False).drop("_file")
+    assert [tuple(r) for r in found.collect()] == [("1", 'a "b", c')]
+
+
+def test_export_reads_back(spark, tmp_path):
+    rows = [("1", 'say "hi", twice'), ("2", "line\nbreak"), ("3", "back\\slash"), ("4", '"')]
+    sinks.export_csv(spark.createDataFrame(rows, "id string, name string"), str(tmp_path / "out"))
+    assert '"say ""hi"", twice"' in "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    found = feeds.read_feed(spark, str(tmp_path / "out")).drop("_file").collect()
+    assert sorted(map(tuple, found)) == rows
