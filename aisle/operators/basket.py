@@ -239,10 +239,10 @@ def bundle_for(rules: DataFrame, n: int = 10, item=None) -> DataFrame:
     listed = rules.withColumn("for_item", F.explode("antecedent"))
     if item is not None:
         listed = listed.where(F.col("for_item") == item)
-    best = Window.partitionBy(SLICE, "for_item").orderBy(*_rule_order())
-    top = listed.withColumn("_rule", F.row_number().over(best)).where(F.col("_rule") <= n * 3)
-    offers = top.select(
-        SLICE, "for_item", "_rule", "support", "confidence", "lift", F.posexplode("consequent").alias("_pos", ITEM)
+    # The struct sorts as rules are listed: by falling lift, then by both sides.
+    rule = F.struct((-F.col("lift")).alias("down"), "antecedent", "consequent").alias("_rule")
+    offers = listed.select(
+        SLICE, "for_item", rule, "support", "confidence", "lift", F.posexplode("consequent").alias("_pos", ITEM)
     )
     first = offers.groupBy(SLICE, "for_item", ITEM).agg(
         F.min(F.struct("_rule", "_pos", "support", "confidence", "lift")).alias("_f")

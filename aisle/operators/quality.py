@@ -12,7 +12,6 @@ from aisle.functions.listing import page
 from aisle.functions.scalars import round_to
 from aisle.functions.scope import scope_stores, where_optional
 
-MAX_COLUMNS = 20
 FRESH_DAYS = 2
 # Dimension weights of the overall score.
 WEIGHTS = {"completeness": 0.35, "accuracy": 0.40, "timeliness": 0.25}
@@ -50,8 +49,8 @@ def _upto(target: Target, check_date: str, store_ids=None) -> DataFrame:
 
 
 def completeness(target: Target, check_date: str, store_ids=None) -> DataFrame:
-    """Score row: share of filled cells over up to 20 columns."""
-    columns = target.columns[:MAX_COLUMNS]
+    """Score row: share of filled cells over all columns of the target."""
+    columns = target.columns
     nulls = [F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(columns)]
     facts = _upto(target, check_date, store_ids).agg(F.count(F.lit(1)).alias("total_records"), *nulls)
     failed = reduce(lambda a, b: a + b, [F.col(f"_n{i}") for i in range(len(columns))], F.lit(0).cast("long"))
@@ -62,7 +61,7 @@ def completeness(target: Target, check_date: str, store_ids=None) -> DataFrame:
 
 def completeness_columns(target: Target, check_date: str, store_ids=None) -> DataFrame:
     """Null count and rate of each checked column that has nulls."""
-    columns = target.columns[:MAX_COLUMNS]
+    columns = target.columns
     facts = _upto(target, check_date, store_ids).agg(
         F.count(F.lit(1)).alias("_total"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
     )
@@ -126,7 +125,7 @@ def table_scores(target: Target, check_date: str, store_ids=None) -> DataFrame:
     """The three score rows of a table from one scan."""
     day = F.lit(check_date).cast("date")
     due = F.to_date(target.date_col) <= day
-    columns, rules = target.columns[:MAX_COLUMNS], list(target.rules.values())
+    columns, rules = target.columns, list(target.rules.values())
     counts = scope_stores(target.df, store_ids).agg(
         F.count_if(due).alias("_n"),
         F.to_date(F.max(target.date_col)).alias("_newest"),

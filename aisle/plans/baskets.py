@@ -135,7 +135,7 @@ def rule_graph_nodes(t):
     "bundle_for",
     f"""
 WITH {RULES}, l AS (SELECT *, unnest(ant) AS for_item FROM rules),
-r AS (SELECT *, row_number() OVER (PARTITION BY store_id, for_item ORDER BY lift DESC, ant, con) AS rk FROM l QUALIFY rk <= 15),
+r AS (SELECT *, row_number() OVER (PARTITION BY store_id, for_item ORDER BY lift DESC, ant, con) AS rk FROM l),
 o AS (SELECT store_id, for_item, rk, support, confidence, lift, unnest(con) AS item_id, generate_subscripts(con, 1) AS pos FROM r),
 f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY store_id, for_item, item_id ORDER BY rk, pos) = 1)
 SELECT store_id, for_item, item_id, support, confidence, lift, CAST(row_number() OVER (PARTITION BY store_id, for_item ORDER BY rk, pos) AS INT) AS rank FROM f QUALIFY rank <= 5""",

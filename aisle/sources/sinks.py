@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from aisle.session import cut_lineage
 
@@ -94,7 +95,8 @@ def _touching(target: DataFrame, touched: DataFrame, partition_by: list[str]) ->
 def upsert(path: str, updates: DataFrame, keys: list[str], update_cols: list[str], partition_by: list[str]) -> None:
     """Last writer wins on the key; only partitions named in the updates are rewritten.
 
-    The partition columns must be part of the key, so that a row never moves.
+    The partition columns must be part of the key, so that a row never moves. Stored columns
+    that the updates lack stay as they are; updates with a column that is not stored are refused.
     """
     if not set(partition_by) <= set(keys):
         raise ValueError("partition columns must belong to the key")
@@ -103,7 +105,17 @@ def upsert(path: str, updates: DataFrame, keys: list[str], update_cols: list[str
         append_facts(updates, path, partition_by)
         return
     rows = cut_lineage(updates, "upsert")
-    old = _touching(_read_like(path, rows), rows.select(*partition_by).distinct(), partition_by)
+    if _read_like(path, rows.select(*partition_by)).isEmpty():
+        append_facts(rows, path, partition_by)
+        return
+    # Types of partition columns come from the updates, as folder names do not tell them.
+    stored = spark.read.parquet(path).schema
+    schema = StructType([rows.schema[f.name] if f.name in partition_by else f for f in stored])
+    if unknown := set(rows.columns) - set(schema.names):
+        raise ValueError(f"columns that the table does not have: {sorted(unknown)}")
+    rows = rows.select(*[F.col(c).cast(schema[c].dataType).alias(c) for c in rows.columns])
+    target = spark.read.schema(schema).parquet(path)
+    old = _touching(target, rows.select(*partition_by).distinct(), partition_by)
     merged = cut_lineage(merge_rows(old, rows, keys, update_cols), "merged")
     _overwrite_partitions(merged, path, partition_by)
 
@@ -121,15 +133,16 @@ def replace_slice(path: str, new: DataFrame, slice_cols: list[str], slices: Data
     _overwrite_partitions(staged, path, slice_cols)
     if slices is not None:
         on = [slices[c].eqNullSafe(staged[c]) for c in slice_cols]
-        for row in slices.distinct().join(staged.select(*slice_cols).distinct(), on, "left_anti").toLocalIterator():
-            _drop_partition(spark, path, {c: row[c] for c in slice_cols})
+        gone = slices.select(*slice_cols).distinct().join(staged.select(*slice_cols).distinct(), on, "left_anti")
+        # The folders are those that the stored rows lie in, however their names are escaped.
+        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
+        stored = spark.read.schema(staged.schema).parquet(path).select(*slice_cols, folder).distinct()
+        for row in _touching(stored, gone, slice_cols).select("_folder").distinct().toLocalIterator():
+            _drop_folder(spark, row["_folder"])
 
 
-def _drop_partition(spark: SparkSession, path: str, values: dict) -> None:
-    folder = "/".join(
-        f"{k}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for k, v in values.items()
-    )
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+def _drop_folder(spark: SparkSession, uri: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 

@@ -103,6 +103,12 @@ def test_bundle_keeps_best_rule_of_an_item(spark):
     assert offers == [("b", 3.0), ("c", 2.0)]
 
 
+def test_bundle_finds_offers_behind_many_rules_of_one_item(spark):
+    rules = rule_table(spark, [*[("a", "x", 9.0 - k) for k in range(6)], ("a", "y", 1.5)])
+    offers = [(r["item_id"], r["lift"]) for r in basket.bundle_for(rules, 2, "a").orderBy("rank").collect()]
+    assert offers == [("x", 9.0), ("y", 1.5)]
+
+
 def test_analysis_replaces_only_its_slice(spark, tmp_path):
     path = str(tmp_path / "rules")
     sales = lines(spark, RECEIPTS).withColumn("sale_date", F.lit("2024-01-05").cast("date")).withColumn(

@@ -203,3 +203,27 @@ def test_export_reads_back(spark, tmp_path):
     assert '"say ""hi"", twice"' in "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
     found = feeds.read_feed(spark, str(tmp_path / "out")).drop("_file").collect()
     assert sorted(map(tuple, found)) == rows
+
+
+def test_upsert_keeps_columns_that_the_update_lacks(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    stored = spark.createDataFrame([(2024, 1, 5, "a"), (2024, 2, 6, "b"), (2023, 1, 7, "c")], "year int, k int, q int, extra string")
+    sinks.upsert(path, stored, ["year", "k"], ["q"], ["year"])
+    update = spark.createDataFrame([(2024, 1, 50), (2024, 3, 60)], "year int, k int, q int")
+    sinks.upsert(path, update, ["year", "k"], ["q"], ["year"])
+    rows = spark.read.parquet(path).select("year", "k", "q", "extra").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(
+        [(2023, 1, 7, "c"), (2024, 1, 50, "a"), (2024, 2, 6, "b"), (2024, 3, 60, None)], key=str
+    )
+    with pytest.raises(ValueError, match="does not have"):
+        sinks.upsert(path, update.withColumn("new", F.lit(1)), ["year", "k"], ["q"], ["year"])
+
+
+def test_slices_are_cleared_whatever_their_names(spark, tmp_path):
+    path = str(tmp_path / "slices")
+    names = ["Food/Drink", "a b", "100%", "x=y:z", None, "kept"]
+    sinks.replace_slice(path, spark.createDataFrame([(n, 1) for n in names], "s string, q int"), ["s"])
+    cleared = spark.createDataFrame([(n,) for n in names if n != "kept"], "s string")
+    sinks.replace_slice(path, spark.createDataFrame([("kept", 2), ("Food/Drink", 3)], "s string, q int"), ["s"], cleared)
+    found = spark.read.schema("s string, q int").parquet(path).select("s", "q").collect()
+    assert sorted(map(tuple, found)) == [("Food/Drink", 3), ("kept", 2)]

@@ -274,3 +274,11 @@ def test_container_order_is_event_time(spark):
     states = port.container_state(events)
     assert {r["container_id"]: r["status"] for r in states.collect()} == {1: "departed", 2: "en_route"}
     assert port.container_stats(states, "2024-02-01 00:00:00").first()["avg_dwell_hours"] == 48.0
+
+
+def test_quality_checks_every_column(spark):
+    names = [f"c{i}" for i in range(25)]
+    df = spark.range(3).select(F.lit("2024-01-01").alias("day"), *[F.lit(None).cast("int").alias(c) for c in names])
+    target = quality.Target("wide", df, "day", names)
+    assert quality.completeness_columns(target, "2024-02-01").count() == 25
+    assert quality.completeness(target, "2024-02-01").first()["failed_records"] == 75
