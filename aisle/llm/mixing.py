@@ -3,16 +3,20 @@
 A naive Bayes classifier, counted on a labelled table, gives every document a posterior over
 domains. Rates are document multipliers: the expected tokens of a domain are the sum of
 rate x tokens x posterior. Projected gradient descent fits rates, not below a floor of zero
-or more, so that these totals meet their targets in relative least squares. All that a step
-needs from the corpus is one total a domain; a document's rate follows from its posterior and
-the steps so far, so rates are never stored between steps and nothing is gathered.
+or more, so that these totals meet their targets in relative least squares, and ends when all
+do or no step helps. Steps are walked in the driver on the totals that one number for every
+two domains foretells; a pass over the corpus then gives the true totals. A document's rate
+follows from its posterior and the walks so far, so rates are never stored between passes and
+nothing is gathered. What a domain still lacks is returned with the rates.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,19 +27,22 @@ from pyspark.sql import functions as F
 from aisle.llm.common import cut_lineage, spare
 
 BUCKETS = 1 << 15
-#: Labelled rows that the classifier is counted on, those of smallest id hash, and domains it tells apart, the commonest.
-LABELLED_ROWS = 20_000
-MOST_DOMAINS = 64
-#: Steps of the descent at most, and the relative error of every domain at which it ends.
-STEPS = 30
+#: Steps of one walk at most, after which the corpus is read again, and the relative error of every domain at which all ends.
+STEPS = 100_000
 CLOSE = 0.002
-#: Parts of a token that totals are counted in, as whole numbers, so that their order does not matter.
+#: A walk ends when a step moves no total by this share of its target, the descent when no step lowers the loss by that share.
+STILL = 1e-9
+LEAST_GAIN = 1e-3
+#: Parts of a token that totals are counted in, and of a posterior in the curvature, as whole numbers, so that their order does not matter.
 PARTS = 1024
+POSTERIOR_PARTS = 8192
 CACHED_WORDS = 400_000
 
 #: Last word of the names of domains that are not to grow.
 POOR = "poor"
 
+LOG = logging.getLogger(__name__)
+
 PIECES = regex.compile(r"\p{L}+|[^\p{L}\s]+")
 
 
@@ -84,23 +91,23 @@ class Classifier:
 
 
 def train(docs: DataFrame, labelled: DataFrame) -> Classifier:
-    """Count the classifier on ``labelled`` (doc_id, domain): at most 20 000 rows, whose ids alone are broadcast."""
+    """Count the classifier on ``labelled`` (doc_id, domain), all its rows and domains; it takes 256 KB a domain."""
     usable = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").select("doc_id", F.col("domain").cast("string").alias("domain"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(LABELLED_ROWS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "domain")
+    texts = docs.select("doc_id", "text").join(usable, "doc_id").select("text", "domain")
     counts = texts.mapInPandas(_count, "domain string, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n"))
     counts = cut_lineage(counts, "counts")
-    sizes = counts.where("bucket = -1").orderBy(F.desc("n"), "domain").limit(MOST_DOMAINS).collect()
+    sizes = counts.where("bucket = -1").collect()
     domains = sorted(r.domain for r in sizes)
     if not domains:
         return Classifier(["all"], np.zeros((BUCKETS, 1)), np.zeros(1))
-    frame = counts.where(F.col("domain").isin(domains)).toPandas()
+    frame = counts.toPandas()
     at = {d: i for i, d in enumerate(domains)}
     table = np.zeros((BUCKETS, len(domains)))
     words = frame[frame["bucket"] >= 0]
     table[words["bucket"].to_numpy(), words["domain"].map(at).to_numpy(int)] = words["n"]
     share = np.log(table + 0.5) - np.log(table.sum(axis=0) + 0.5 * BUCKETS)
-    number = np.array([{r.domain: r.n for r in sizes}[d] for d in domains], float)
+    number = np.zeros(len(domains))
+    number[[at[r.domain] for r in sizes]] = [r.n for r in sizes]
     return Classifier(domains, share, np.log(number / number.sum()))
 
 
@@ -125,7 +132,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def rates(posterior: np.ndarray, history: list[np.ndarray], step: float, least: float) -> np.ndarray:
-    """Rates after the steps of ``history``: each goes down the slope of the totals' errors and back above the floor."""
+    """Rates after the walks of ``history``: each goes down the summed slopes of the totals' errors and back above the floor."""
     out = np.ones(len(posterior))
     for slope in history:
         out = np.maximum(least, out - step * (posterior @ slope))
@@ -150,25 +157,86 @@ def _totals(table: DataFrame, domains: int, history: list[np.ndarray], step: flo
     return out
 
 
-def fit(table: DataFrame, names: list[str], target, least: float = 0.0) -> tuple[list[np.ndarray], float]:
-    """Slopes of all steps and their length. ``target`` maps the natural totals of the domains to wanted ones.
+def _curvature(table: DataFrame, domains: int, history: list[np.ndarray], step: float, least: float, slope: np.ndarray) -> np.ndarray:
+    """Tokens x posterior x posterior of every two domains, without documents that the floor keeps from going down ``slope``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((domains, domains))
+        for frame in frames:
+            p = np.array(frame["posterior"].tolist()).reshape(-1, domains)
+            free = (rates(p, history, step, least) > least) | (p @ slope < 0)
+            parts = np.rint(p[free] * POSTERIOR_PARTS)
+            sums += (parts * frame["n_tokens"].to_numpy(float)[free, None]).T @ parts
+        a, b = np.nonzero(sums)
+        yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "total": sums[a, b].astype(np.int64)})
+
+    rows = table.select("n_tokens", "posterior").mapInPandas(run, "a int, b int, total long")
+    out = np.zeros((domains, domains))
+    for r in rows.groupBy("a", "b").agg(F.sum(F.col("total").cast("decimal(20,0)")).alias("total")).collect():
+        out[r.a, r.b] = float(r.total) / POSTERIOR_PARTS**2
+    return out
+
+
+def _walk(totals: np.ndarray, wanted: np.ndarray, curvature: np.ndarray, step: float) -> np.ndarray:
+    """Sum of the slopes of all steps from ``totals`` until every foretold error is small or nothing moves."""
+    slope, now = np.zeros(len(totals)), totals.copy()
+    for _ in range(STEPS):
+        error = (now - wanted) / wanted
+        if np.abs(error).max() <= CLOSE:
+            break
+        move = step * (curvature @ error)
+        slope += error
+        now -= move
+        if (np.abs(move) / wanted).max() <= STILL:
+            break
+    return slope
+
+
+class Fit(NamedTuple):
+    """Walks, length of their steps, and of each domain the natural, the wanted and the reached tokens."""
+
+    history: list[np.ndarray]
+    step: float
+    natural: np.ndarray
+    wanted: np.ndarray
+    totals: np.ndarray
+
+    @property
+    def residual(self) -> np.ndarray:
+        """Error of each domain as a share of its target; more than CLOSE only where the floor or mixed posteriors bar the way."""
+        return (self.totals - self.wanted) / self.wanted
+
+
+def fit(table: DataFrame, names: list[str], target, least: float = 0.0) -> Fit:
+    """Descend until every domain is close to its target or no step lowers the loss. ``target`` maps natural totals to wanted ones.
 
     The step is one over the largest eigenvalue of the totals' normal matrix, bounded by
-    the largest ratio of natural to wanted tokens, since posteriors sum to one.
+    the largest ratio of natural to wanted tokens, since posteriors sum to one. A walk that
+    overshoots, because documents reach the floor on the way, is shortened; at last one step
+    is taken, which never overshoots.
     """
     domains = len(names)
     natural = _totals(table, domains, [], 1.0, least)
     wanted = np.maximum(target(natural, names), 1.0)
     step = 1.0 / max(float((natural / wanted).max()), 1e-9)
+    loss = lambda totals: float(((totals - wanted) ** 2 / wanted).sum())
     history: list[np.ndarray] = []
-    totals = natural
-    for _ in range(STEPS):
+    totals, moved = natural, True
+    while moved and np.abs((totals - wanted) / wanted).max() > CLOSE:
         error = (totals - wanted) / wanted
-        if np.abs(error).max() <= CLOSE:
-            break
-        history.append(error)
-        totals = _totals(table, domains, history, step, least)
-    return history, step
+        slope = _walk(totals, wanted, _curvature(table, domains, history, step, least, error), step)
+        for tried in (slope, slope / 4, slope / 16, error):
+            after = _totals(table, domains, [*history, tried], step, least)
+            moved = loss(after) < (1 - LEAST_GAIN) * loss(totals)
+            if moved:
+                history.append(tried)
+                totals = after
+                break
+    found = Fit(history, step, natural, wanted, totals)
+    for name, residual in zip(names, found.residual, strict=True):
+        if abs(residual) > CLOSE:
+            LOG.warning("domain %s ends %+.2f %% from its target", name, 100 * residual)
+    return found
 
 
 def tempered(exponent: float, poor: float, grow: bool = False):
@@ -188,10 +256,11 @@ def tempered(exponent: float, poor: float, grow: bool = False):
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, target, least: float = 0.0) -> DataFrame:
-    """Rows (doc_id, body, n_tokens, domain, share, rate, copies) for every row.
+    """Rows (doc_id, body, n_tokens, domain, share, rate, residual, copies) for every row.
 
-    ``domain`` is the likeliest one and ``share`` its posterior; ``copies`` rounds the rate
-    up or down by a hash of the id, so that on average it is the rate. Cases: null and
+    ``domain`` is the likeliest one, ``share`` its posterior and ``residual`` the error of its
+    total as a share of its target; ``copies`` rounds the rate up or down by a hash of the id,
+    so that on average it is the rate. Cases: null and
     empty texts have no tokens and the prior as posterior; without labelled rows all is one
     domain; equal posteriors go to the domain that sorts first; repeated rows have equal
     rates; a null doc_id rounds like id 0; an empty table gives no rows; extra columns are
@@ -200,7 +269,8 @@ def document_rates(docs: DataFrame, labelled: DataFrame, target, least: float =
     model = train(docs, labelled)
     table = cut_lineage(posteriors(docs, model), "posteriors")
     k = len(model.domains)
-    history, step = fit(table, model.domains, target, least)
+    found = fit(table, model.domains, target, least)
+    history, step, residual = found.history, found.step, found.residual
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = model.domains
 
@@ -212,19 +282,28 @@ def document_rates(docs: DataFrame, labelled: DataFrame, target, least: float =
             out["domain"] = [names[i] for i in best]
             out["share"] = p[np.arange(len(p)), best]
             out["rate"] = rates(p, history, step, least)
+            out["residual"] = residual[best]
             yield out
 
-    found = table.mapInPandas(run, f"doc_id {kind}, body long, n_tokens long, domain string, share double, rate double")
+    rows = table.mapInPandas(run, f"doc_id {kind}, body long, n_tokens long, domain string, share double, rate double, residual double")
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    return found.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    return rows.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+
+
+def domain_report(docs: DataFrame, labelled: DataFrame, target, least: float = 0.0) -> DataFrame:
+    """Rows (domain, natural, wanted, total, residual), one a domain, also for domains that are likeliest in no document."""
+    model = train(docs, labelled)
+    found = fit(cut_lineage(posteriors(docs, model), "posteriors"), model.domains, target, least)
+    columns = (x.tolist() for x in (found.natural, found.wanted, found.totals, found.residual))
+    schema = "domain string, natural double, wanted double, total double, residual double"
+    return docs.sparkSession.createDataFrame(list(zip(model.domains, *columns, strict=True)), schema)
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (doc_id, domain) of the labelled documents: the language and whether the text was found good or poor."""
     picked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality")
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
     named = F.concat_ws(" ", "lang", F.when(F.col("quality") == 1, "good").otherwise(POOR))
-    return docs.where("lang IS NOT NULL").select("doc_id", "lang").join(F.broadcast(picked), "doc_id").select("doc_id", named.alias("domain"))
+    return docs.where("lang IS NOT NULL").select("doc_id", "lang").join(picked, "doc_id").select("doc_id", named.alias("domain"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, target, least: float = 0.0) -> DataFrame:
