@@ -21,7 +21,6 @@ from aisle.sources.sinks import replace_slice
 SLICE = "store_id"
 BASKET = "receipt_no"
 ITEM = "item_id"
-MAX_ITEMS_IN_SET = 5
 
 
 def baskets(sales: DataFrame, category: str | None = None, min_items: int = 2) -> DataFrame:
@@ -115,27 +114,28 @@ def _count(occurrences: DataFrame) -> DataFrame:
 
 
 def frequent_itemsets(
-    basket_rows: DataFrame, base: float, thresholds: DataFrame | None = None, max_k: int = MAX_ITEMS_IN_SET
+    basket_rows: DataFrame, base: float, thresholds: DataFrame | None = None, max_k: int | None = None
 ) -> DataFrame:
     """Itemsets whose count reaches the lowest threshold of their items, level by level.
 
     With thresholds per item a part of a frequent set need not be frequent itself,
     so sets grow from any two frequent parts. Each level counts by joining the
-    baskets that hold a part with the item that completes it.
+    baskets that hold a part with the item that completes it. Without ``max_k`` levels
+    end where none of their sets is frequent.
     """
     basket_rows = cut_lineage(basket_rows)
     singles = cut_lineage(_frequent_items(basket_rows, thresholds, base))
     kept = cut_lineage(basket_rows.join(singles.select(SLICE, ITEM, "min_count"), [SLICE, ITEM]))
     levels = [singles.select(SLICE, F.array(ITEM).alias("items"), "support_count")]
     inside, k = _pairs(kept), 2
-    while k <= max_k:
+    while max_k is None or k <= max_k:
         inside = cut_lineage(inside) if k > 2 else inside
         frequent = cut_lineage(_count(inside))
         if frequent.isEmpty():
             break
         levels.append(frequent.select(SLICE, "items", "support_count"))
         k += 1
-        if k > max_k:
+        if max_k is not None and k > max_k:
             break
         holders = inside.join(frequent.select(SLICE, "items"), [SLICE, "items"], "left_semi").select(
             SLICE, BASKET, F.col("items").alias("part")
@@ -289,7 +289,7 @@ def layout_clusters(rules: DataFrame, min_lift: float = 2.0) -> DataFrame:
 
 def analyse(
     sales: DataFrame, min_support: float = 0.01, min_confidence: float = 0.3, category: str | None = None,
-    min_items: int = 2, adaptive: bool = True, max_k: int = MAX_ITEMS_IN_SET,
+    min_items: int = 2, adaptive: bool = True, max_k: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rules, itemsets and basket counts of every slice."""
     rows = cut_lineage(baskets(sales, category, min_items))

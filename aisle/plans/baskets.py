@@ -60,8 +60,8 @@ def _sets(t, max_k=3):
     return basket.frequent_itemsets(basket.baskets(lines), BASE, basket.item_thresholds(lines, BASE), max_k)
 
 
-def _rules(t):
-    return basket.analyse(_lines(t), BASE, CONFIDENCE, max_k=3)[0]
+def _rules(t, max_k=3):
+    return basket.analyse(_lines(t), BASE, CONFIDENCE, max_k=max_k)[0]
 
 
 @query("baskets", f"WITH {LINES} SELECT store_id, receipt_no, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM bk GROUP BY ALL")
@@ -167,3 +167,47 @@ def query_rules(t):
     return rows.withColumn("antecedent", F.array_join("antecedent", ",")).withColumn(
         "consequent", F.array_join("consequent", ",")
     )
+
+
+# Sets of every size and all their rules. The queries of the same names without "_all" end at three items, as their SQL does;
+# these have none and are checked against brute force in the tests.
+
+
+@query("frequent_itemsets_all")
+def frequent_itemsets_all(t):
+    return _sets(t, None).withColumn("items", F.array_join("items", ","))
+
+
+@query("association_rules_all")
+def association_rules_all(t):
+    return _rules(t, None).withColumn("antecedent", F.array_join("antecedent", ",")).withColumn(
+        "consequent", F.array_join("consequent", ",")
+    )
+
+
+@query("rule_graph_all")
+def rule_graph_all(t):
+    return basket.rule_graph_edges(_rules(t, None), MIN_LIFT)
+
+
+@query("rule_graph_nodes_all")
+def rule_graph_nodes_all(t):
+    return basket.rule_graph_nodes(_rules(t, None), MIN_LIFT)
+
+
+@query("bundle_for_all")
+def bundle_for_all(t):
+    return basket.bundle_for(_rules(t, None), 5)
+
+
+@query("layout_clusters_all")
+def layout_clusters_all(t):
+    return basket.layout_clusters(_rules(t, None), 1.2)
+
+
+@query("query_rules_all")
+def query_rules_all(t):
+    rows = basket.query_rules(_rules(t, None), min_lift=MIN_LIFT, page_no=2)
+    return rows.withColumn("antecedent", F.array_join("antecedent", ",")).withColumn(
+        "consequent", F.array_join("consequent", ",")
+    )

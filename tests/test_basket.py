@@ -122,3 +122,26 @@ def test_analysis_replaces_only_its_slice(spark, tmp_path):
     assert stored.where("cast(period_end as string) = '2024-02-28'").count() == stats["rules_found"]
     basket.run_basket_analysis(sales, path, "2024-01-01", "2024-02-28", min_support=0.99, min_confidence=0.1)
     assert spark.read.parquet(path).where("cast(period_end as string) = '2024-02-28'").count() == 0
+
+
+def test_sets_and_rules_of_every_size(spark):
+    """Seven items together: sets of six and seven were dropped, and registered rules ended at three items."""
+    receipts = [list("ABCDEFG")] * 3 + [list("ABCDEF"), list("AB"), list("FG")]
+    sales = lines(spark, receipts)
+    found = brute_force(receipts, lambda i: 0.5 * len(receipts), max_k=7)
+    rules, itemsets, _ = basket.analyse(sales, 0.5, 0.01, adaptive=False)
+    assert {tuple(r["items"]): r["support_count"] for r in itemsets.collect()} == found
+    assert max(map(len, found)) == 7
+    expected = {(a, tuple(x for x in s if x not in a)) for s in found for k in range(1, len(s)) for a in combinations(s, k)}
+    assert {(tuple(r["antecedent"]), tuple(r["consequent"])) for r in rules.collect()} == expected
+
+
+def test_registered_sets_of_every_size(spark):
+    from aisle import plans
+
+    directory = "/root/testdata/sf0.001"
+    every = plans.queries()["frequent_itemsets_all"](spark, directory).collect()
+    three = plans.queries()["frequent_itemsets"](spark, directory).collect()
+    assert {tuple(r) for r in three} == {tuple(r) for r in every if r["items"].count(",") < 3}
+    sizes = {r["items"].count(",") + 1 for r in every}
+    assert max(sizes) > 3 and sizes == set(range(1, max(sizes) + 1))
