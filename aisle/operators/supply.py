@@ -10,7 +10,6 @@ from aisle.functions.scalars import money_sum, round_to, safe_div
 from aisle.functions.scope import scope_stores
 
 ORDER_KEYS = ("order_no", "supplier_id")
-LINES_PER_ROW = 1000
 
 
 def supplier_scorecard(
@@ -190,18 +189,10 @@ def apply_receipts(order_items: DataFrame, receipts: DataFrame, keys: tuple[str,
     )
 
 
-def orders_with_items(
-    orders: DataFrame, order_items: DataFrame, keys: tuple[str, ...] = ORDER_KEYS, lines_per_row: int = LINES_PER_ROW
-) -> DataFrame:
-    """Order header with its lines as an array.
-
-    An order longer than ``lines_per_row`` is spread over several rows (``part``)
-    by a hash of the item, so one array never has to hold a huge order.
-    """
-    sizes = order_items.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(lines_per_row)).alias("_parts"))
-    split = order_items.join(sizes, list(keys)).withColumn(
-        "part", F.pmod(F.xxhash64("item_id"), F.col("_parts")).cast("int")
-    )
+def orders_with_items(orders: DataFrame, order_items: DataFrame, keys: tuple[str, ...] = ORDER_KEYS) -> DataFrame:
+    """Order header with the number of its lines and the lines as an array: one row per order, however long it is."""
     line = F.struct(*[c for c in order_items.columns if c not in keys])
-    nested = split.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(line)).alias("items"))
-    return orders.join(nested, list(keys), "left")
+    nested = order_items.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(line)).alias("items")
+    )
+    return orders.join(nested, list(keys), "left").fillna(0, ["lines"])

@@ -282,3 +282,14 @@ def test_quality_checks_every_column(spark):
     target = quality.Target("wide", df, "day", names)
     assert quality.completeness_columns(target, "2024-02-01").count() == 25
     assert quality.completeness(target, "2024-02-01").first()["failed_records"] == 75
+
+
+def test_a_long_order_is_one_row(spark):
+    """An order of 1 001 lines and more came in several rows, each with a part of its lines."""
+    from aisle.operators import supply
+
+    orders = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "order_no long, supplier_id long")
+    items = spark.createDataFrame([(1, 7, i) for i in range(1500)] + [(2, 7, 4)], "order_no long, supplier_id long, item_id long")
+    found = {r["order_no"]: r for r in supply.orders_with_items(orders, items).collect()}
+    assert len(found) == 3 and {n: r["lines"] for n, r in found.items()} == {1: 1500, 2: 1, 3: 0}
+    assert [i["item_id"] for i in found[1]["items"]] == list(range(1500))
