@@ -251,9 +251,9 @@ def clean(df: DataFrame, entity: str) -> Cleaned:
     return Cleaned(clean_rows(df, entity), clean_stats(df, entity))
 
 
-def run_import(spark: SparkSession, path: str, entity: str, target: str) -> dict[str, int]:
-    """One import: read, clean, drop rows whose key is stored already, publish all or nothing."""
-    feed = cut_lineage(read_feed(spark, path))
+def run_import(spark: SparkSession, path: str, entity: str, target: str, line_breaks: bool = True) -> dict[str, int]:
+    """One import: read, clean, drop rows whose key is stored already, publish all or nothing. ``line_breaks`` as in ``read_feed``."""
+    feed = cut_lineage(read_feed(spark, path, line_breaks))
     cleaned = clean(feed, entity)
     rows = cut_lineage(cleaned.rows, f"clean-{entity}")
     keys = CONFLICT_KEYS.get(entity)

@@ -29,6 +29,8 @@ def read_feed(spark: SparkSession, path: str, line_breaks: bool = True) -> DataF
         .options(header=True, escape='"', multiLine=line_breaks)
         .option("encoding", "UTF-8")
         .option("mode", "PERMISSIVE")
+        # Whether a line is too long shows only when all its fields are parsed, also where a count needs none of them.
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", BROKEN)
         .csv(path)
         .withColumn("_file", F.col("_metadata.file_path"))
@@ -36,9 +38,9 @@ def read_feed(spark: SparkSession, path: str, line_breaks: bool = True) -> DataF
     return lines.where(F.col(BROKEN).isNotNull() & F.col(EXTRA).isNull()).select(*names, "_file")
 
 
-def read_competitors(spark: SparkSession, path: str) -> DataFrame:
-    """Competitor list: ``name`` is required as a column, everything else may be missing."""
-    feed = read_feed(spark, path)
+def read_competitors(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """Competitor list: ``name`` is required as a column, everything else may be missing. ``line_breaks`` as in ``read_feed``."""
+    feed = read_feed(spark, path, line_breaks)
     if "name" not in feed.columns:
         raise ValueError("the file needs a name column")
     for missing in ("brand", "category", "latitude", "longitude", "city", "district", "estimated_revenue"):

@@ -227,3 +227,19 @@ def test_slices_are_cleared_whatever_their_names(spark, tmp_path):
     sinks.replace_slice(path, spark.createDataFrame([("kept", 2), ("Food/Drink", 3)], "s string, q int"), ["s"], cleared)
     found = spark.read.schema("s string, q int").parquet(path).select("s", "q").collect()
     assert sorted(map(tuple, found)) == [("Food/Drink", 3), ("kept", 2)]
+
+
+def test_imports_hand_on_whether_fields_hold_line_breaks(spark, tmp_path, monkeypatch):
+    asked, read = [], feeds.read_feed
+
+    def spy(session, path, line_breaks=True):
+        asked.append(line_breaks)
+        return read(session, path, line_breaks)
+
+    monkeypatch.setattr(feeds, "read_feed", spy)
+    monkeypatch.setattr(cleaning, "read_feed", spy)
+    path = write(tmp_path / "c", "name,latitude\nA,1.5\n")
+    assert feeds.read_competitors(spark, path, line_breaks=False).count() == 1
+    cleaning.run_import(spark, path, "competitors", str(tmp_path / "t"), line_breaks=False)
+    feeds.read_competitors(spark, path)
+    assert asked == [False, False, True]
