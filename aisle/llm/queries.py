@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, toxicity
+from aisle.llm import (
+    bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, periodic_runs, quality, sharding, simhash, substring_dedup, toxicity, whitening,
+)
 from aisle.llm.common import documents, table
 
 TREE = sharding.even_tree(8)
@@ -55,7 +57,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(documents(spark, sf_dir))
 
 
-QUERIES = [op1_substring_dedup, op2_bpe, op3_quality_rules, op4_line_dedup, op5_mixing, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding, op10_ngram_join]
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(documents(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(documents(spark, sf_dir))
+
+
+QUERIES = [
+    op1_substring_dedup, op2_bpe, op3_quality_rules, op4_line_dedup, op5_mixing, op6_toxicity, op7_exact_dedup, op8_language_id, op9_sharding,
+    op10_ngram_join, op11_whitening, op12_simhash, op13_periodic_runs,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
