@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aisle.functions import ordered
+
 RANGES = 64
 
 
@@ -80,6 +83,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataF
     )
 
 
+def exact_medians(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+    """Exact median per key; a key with very many different values is cut into ranges that are summed side by side."""
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(1).cast("long").alias("_c"))
+    counts = known.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    placed = counts.join(ordered.lower_totals(known, list(keys), "_v", "_c", "_from"), [*keys, "_v"]).join(sizes, list(keys))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= place) & (place < F.col("_from") + F.col("_c")), F.col("_v")))
+
+    middle = (F.col("_n") - 1) / 2
+    edges = placed.groupBy(*keys).agg(at(F.floor(middle)).alias("_lo"), at(F.ceil(middle)).alias("_hi"))
+    return edges.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
+
+
 def pearson_p(r: Column, n: Column) -> Column:
     """Two-sided p-value of a Pearson correlation by the finite series of the t distribution.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisle.functions import ordered
-from aisle.functions.stats import exact_quantiles
+from aisle.functions.stats import exact_medians, exact_quantiles
 from aisle.session import cut_lineage
 from aisle.sources.feeds import read_feed
-from aisle.sources.sinks import _exists, _read_like, absent_rows, first_per_key, load_atomic
+from aisle.sources.sinks import absent_from, load_atomic
 
 # Columns that must be present, keys that must be filled, and keys of stored rows.
 REQUIRED = {
@@ -35,6 +36,8 @@ CONFLICT_KEYS = {
     "traffic": ["store_id", "traffic_date", "hour"],
     "weather": ["city", "weather_date"],
 }
+#: Key column by which stored rows lie in folders, so that an import only looks at the folders that it has keys for.
+FOLDERS = {"sales": ["store_id"], "inventory": ["snapshot_date"], "traffic": ["traffic_date"], "weather": ["weather_date"]}
 NUMERIC_STORE = {"sales", "inventory"}
 WEATHER_NUMBERS = ["temp_high", "temp_low", "humidity", "wind_speed", "precipitation"]
 COPIES = "_copies"
@@ -61,9 +64,9 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop("all", subset=_data_columns(df))
 
 
-def count_copies(df: DataFrame) -> DataFrame:
-    """Distinct rows with the number of copies of each; copies combine before the shuffle."""
-    return df.groupBy(*_data_columns(df)).agg(F.count(F.lit(1)).alias(COPIES))
+def count_copies(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct rows with the number of copies of each; copies combine before the shuffle. ``by`` keeps imports apart."""
+    return df.groupBy(*by, *_data_columns(df)).agg(F.count(F.lit(1)).alias(COPIES))
 
 
 def drop_exact_duplicates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,31 +111,34 @@ def coerce(df: DataFrame, numbers: list[str], dates: list[str] = ()) -> DataFram
 
 
 def interpolate(
-    df: DataFrame, columns: list[str], group: str, order: list[str], bucket: Column, median_fallback: bool = True
+    df: DataFrame, columns: list[str], group: str, order: list[str], bucket: Column, median_fallback: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Fill numeric nulls: linear within the group, then the column's median, then zero.
 
     ``order`` must give every row of a group its place; ``bucket`` cuts a group's
     rows in that order. Groups without any value are rare, so the medians are only
-    computed for columns that still have nulls after the linear fill.
+    computed for columns that have such a group. With ``by`` each of its values is an
+    import of its own, with its own groups and medians.
     """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
+    keys = [*by, group]
     # The fill reads its input twice; what stands before it (coercion, dedupe) should run once.
-    filled = ordered.interpolate(
-        cut_lineage(df.withColumn("_bucket", bucket)), columns, [group], "_bucket", [F.col(c).asc_nulls_first() for c in order]
-    ).drop("_bucket")
+    rows = cut_lineage(df.withColumn("_bucket", bucket))
+    filled = ordered.interpolate(rows, columns, keys, "_bucket", [F.col(c).asc_nulls_first() for c in order]).drop("_bucket")
     if not median_fallback:
         return filled.fillna(0.0, columns)
-    filled = cut_lineage(filled)
-    open_columns = filled.agg(*[F.bool_or(F.col(c).isNull()).alias(c) for c in columns]).first()
-    for c in columns:
-        if open_columns[c]:
-            median = exact_quantiles(filled, c, {"_median": 0.5})
-            filled = (
-                filled.join(F.broadcast(median)).withColumn(c, F.coalesce(c, "_median", F.lit(0.0))).drop("_median")
-            )
+    known = rows.groupBy(*keys).agg(*[F.count(c).alias(f"_known_{k}") for k, c in enumerate(columns)])
+    empty = known.agg(*[F.bool_or(F.col(f"_known_{k}") == 0).alias(c) for k, c in enumerate(columns)]).first()
+    open_columns = [c for c in columns if empty[c]]
+    if open_columns:
+        filled = cut_lineage(filled)
+    for c in open_columns:
+        medians = exact_medians(filled, c, by, "_median") if by else exact_quantiles(filled, c, {"_median": 0.5})
+        joined = filled.join(medians, list(by), "left") if by else filled.join(F.broadcast(medians))
+        filled = joined.withColumn(c, F.coalesce(c, "_median", F.lit(0.0))).drop("_median")
     return filled
 
 
@@ -141,14 +147,14 @@ def _order(df: DataFrame, first: list[str]) -> list[str]:
     return first + [c for c in _data_columns(df) if c not in first]
 
 
-def clean_sales(df: DataFrame) -> DataFrame:
+def clean_sales(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct rows with filled keys in, typed valid sale lines out."""
     typed = coerce(df, ["store_id", "quantity", "unit_price", "total_amount"]).where(F.col("store_id").isNotNull())
     dated = typed.withColumn("_day", F.coalesce(lenient_date("sale_date"), F.lit(NO_DATE).cast("date")))
     order = ["_day", *_order(df, ["receipt_no", "item_id"])]
     # Days are cut once more by receipt, so that one busy day of one store is no single bucket.
     bucket = F.struct("_day", F.substring("receipt_no", 1, 2).alias("receipts"))
-    full = interpolate(dated, ["quantity", "unit_price", "total_amount"], "store_id", order, bucket)
+    full = interpolate(dated, ["quantity", "unit_price", "total_amount"], "store_id", order, bucket, by=by)
     valid = full.where((F.col("quantity") > 0) & (F.col("unit_price") >= 0) & (F.col("total_amount") >= 0))
     valid = valid.where(F.col("_day") != F.lit(NO_DATE).cast("date")).withColumn("sale_date", F.col("_day")).drop("_day")
     if "discount_amount" in valid.columns:
@@ -161,20 +167,20 @@ def clean_sales(df: DataFrame) -> DataFrame:
     return valid.withColumn("total_amount", recalculated).withColumn("store_id", F.col("store_id").cast("long"))
 
 
-def clean_inventory(df: DataFrame) -> DataFrame:
+def clean_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     typed = coerce(df, ["store_id", "quantity"]).where(F.col("store_id").isNotNull())
     dated = typed.withColumn("_day", F.coalesce(lenient_date("snapshot_date"), F.lit(NO_DATE).cast("date")))
     order = ["_day", *_order(df, ["store_id", "item_id"])]
-    full = interpolate(dated, ["quantity"], "item_id", order, F.col("_day"))
+    full = interpolate(dated, ["quantity"], "item_id", order, F.col("_day"), by=by)
     valid = full.where(F.col("_day") != F.lit(NO_DATE).cast("date")).withColumn("snapshot_date", F.col("_day"))
     more = [c for c in ("unit_cost", "total_value") if c in df.columns]
-    valid = interpolate(coerce(valid, more), more, "item_id", order, F.col("_day")).drop("_day")
+    valid = interpolate(coerce(valid, more), more, "item_id", order, F.col("_day"), by=by).drop("_day")
     if "unit_cost" in df.columns and "total_value" not in df.columns:
         valid = valid.withColumn("total_value", F.col("quantity") * F.col("unit_cost"))
     return valid.withColumn("store_id", F.col("store_id").cast("long"))
 
 
-def clean_members(df: DataFrame) -> DataFrame:
+def clean_members(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     valid = coerce(df, [], ["register_date"]).where(F.col("register_date").isNotNull())
     if "phone" in valid.columns:
         digits = F.regexp_replace("phone", r"[^\d]", "")
@@ -182,12 +188,12 @@ def clean_members(df: DataFrame) -> DataFrame:
     return valid
 
 
-def clean_traffic(df: DataFrame) -> DataFrame:
+def clean_traffic(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     counts = [c for c in ("enter_count", "exit_count", "pass_by_count") if c in df.columns]
     typed = coerce(df, ["store_id", "hour", *counts]).where(F.col("store_id").isNotNull())
     dated = typed.withColumn("_day", F.coalesce(lenient_date("traffic_date"), F.lit(NO_DATE).cast("date")))
     order = ["_day", *_order(df, ["hour"])]
-    full = interpolate(dated, counts, "store_id", order, F.col("_day"))
+    full = interpolate(dated, counts, "store_id", order, F.col("_day"), by=by)
     return (
         full.where(F.col("hour").between(0, 23) & (F.col("enter_count") >= 0))
         .where(F.col("_day") != F.lit(NO_DATE).cast("date"))
@@ -198,10 +204,10 @@ def clean_traffic(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_weather(df: DataFrame) -> DataFrame:
+def clean_weather(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     numbers = [c for c in WEATHER_NUMBERS if c in df.columns]
     valid = coerce(df, numbers, ["weather_date"]).where(F.col("weather_date").isNotNull())
-    full = interpolate(valid, numbers, "city", _order(df, ["weather_date"]), F.trunc("weather_date", "month"))
+    full = interpolate(valid, numbers, "city", _order(df, ["weather_date"]), F.trunc("weather_date", "month"), by=by)
     if "humidity" in numbers:
         full = full.withColumn("humidity", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("humidity"))))
     return full
@@ -216,9 +222,9 @@ CLEANERS = {
 }
 
 
-def clean_stats(df: DataFrame, entity: str) -> DataFrame:
-    """Counts of an import as one row: total, duplicate and error rows."""
-    counted = count_copies(drop_empty_rows(normalize_headers(df)))
+def clean_stats(df: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of an import as one row: total, duplicate and error rows; one row for each value of ``by``."""
+    counted = count_copies(drop_empty_rows(normalize_headers(df)), by)
     total = F.coalesce(F.sum(COPIES), F.lit(0)).alias("total_rows")
     copies = F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("duplicate_rows")
     if entity not in CLEANERS:
@@ -230,21 +236,22 @@ def clean_stats(df: DataFrame, entity: str) -> DataFrame:
         if entity in NUMERIC_STORE:
             bad = bad | lenient_number("store_id").isNull()
         errors = F.count_if(bad)
-    return counted.agg(total, copies, errors.alias("error_rows"))
+    return counted.groupBy(*by).agg(total, copies, errors.alias("error_rows"))
 
 
-def clean_rows(df: DataFrame, entity: str) -> DataFrame:
+def clean_rows(df: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
     """Headers, empty rows, duplicates, key and column checks, then the entity's cleaner.
 
     An entity without a cleaner passes through after the duplicate check; a missing
-    column rejects the whole batch.
+    column rejects the whole batch. ``by`` names columns, such as the file, whose values are
+    cleaned as imports of their own and stay on the rows.
     """
-    rows = count_copies(drop_empty_rows(normalize_headers(df))).drop(COPIES)
+    rows = count_copies(drop_empty_rows(normalize_headers(df)), by).drop(COPIES)
     if entity not in CLEANERS:
         return rows
     if not require_columns(rows, REQUIRED[entity]):
         return rows.where(F.lit(False))
-    return CLEANERS[entity](drop_null_keys(rows, ROW_KEYS[entity]))
+    return CLEANERS[entity](drop_null_keys(rows, ROW_KEYS[entity]), by)
 
 
 def clean(df: DataFrame, entity: str) -> Cleaned:
@@ -256,21 +263,13 @@ def run_import(spark: SparkSession, path: str, entity: str, target: str, line_br
     feed = cut_lineage(read_feed(spark, path, line_breaks))
     cleaned = clean(feed, entity)
     rows = cut_lineage(cleaned.rows, f"clean-{entity}")
-    keys = CONFLICT_KEYS.get(entity)
-    if keys is None:
-        fresh = rows
-    else:
-        # Equal keys inside one file: the smallest row by its other columns stands for the first.
-        by_value = [F.struct(*[c for c in rows.columns if c not in keys])]
-        fresh = (
-            absent_rows(_read_like(target, rows), rows, keys, by_value)
-            if _exists(spark, target)
-            else first_per_key(rows, keys, by_value)
-        )
+    keys, folders = CONFLICT_KEYS.get(entity), FOLDERS.get(entity, [])
+    # Equal keys inside one file: the smallest row by its other columns stands for the first.
+    fresh = absent_from(target, rows, keys, [F.struct(*[c for c in rows.columns if c not in keys])], folders) if keys else rows
     kept = cut_lineage(fresh, f"fresh-{entity}")
     counts = cleaned.stats.first()
     clean_rows, inserted = rows.count(), kept.count()
-    load_atomic(kept, target)
+    load_atomic(kept, target, keys, folders)
     return {
         "total_rows": counts["total_rows"],
         "processed_rows": counts["total_rows"],

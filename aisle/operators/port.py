@@ -375,11 +375,13 @@ def cumulative_kwh(readings: DataFrame) -> DataFrame:
     )
 
 
-def sequence_gaps(ticks: DataFrame, source: str = "source_id") -> DataFrame:
-    """Ticks after which numbers are missing, with how many, and the delay of arrival."""
+def sequence_gaps(ticks: DataFrame, source: str = "source_id", silence: str | None = None) -> DataFrame:
+    """Ticks after which numbers are missing, with how many; none after a pause longer than ``silence`` (an interval)."""
     rows = ticks.withColumn("_hour", F.date_trunc("hour", "received_at"))
-    before = ordered.lag_values(rows, [source], "_hour", [F.col("received_at"), F.col("seq")], {"seq": "previous_seq"})
+    before = ordered.lag_values(rows, [source], "_hour", [F.col("received_at"), F.col("seq")], {"seq": "previous_seq", "received_at": "previous_at"})
     missing = F.col("seq") - F.col("previous_seq") - 1
+    if silence is not None:
+        before = before.where(F.col("received_at") <= F.col("previous_at") + F.expr(f"interval {silence}"))
     return before.where((F.col("previous_seq") > 0) & (missing > 0)).select(
         source, "seq", "previous_seq", missing.alias("dropped"), "received_at"
     )

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from aisle.operators import cleaning
 from aisle.plans.registry import query
-from aisle.session import checkpoint_root, cut_lineage
+from aisle.session import checkpoint_root
 from aisle.sources import sinks
-from aisle.streaming import feeds
+from aisle.streaming import contacts, containers, feeds
 
 # Sale lines as text with bad cells: missing keys, broken stores and dates, gaps, negative amounts.
 DIRTY = """
@@ -156,7 +156,7 @@ def _readings(stream):
     return stream.select(
         F.col("event_id").alias("id"), (F.col("user_id") % 10 + 1).alias("store_id"),
         (F.col("user_id") % 20 + 1).alias("equipment_id"), F.col("ts").alias("reading_time"),
-        F.col("value").alias("power_kw"), state.alias("operational_state"),
+        F.col("value").alias("power_kw"), (F.col("value") / 3600).alias("energy_kwh"), state.alias("operational_state"),
     )
 
 
@@ -226,12 +226,71 @@ def stream_sequence_gaps(t):
 WITH {_KEYED} SELECT store_id, receipt_no, item_id, count(*) OVER () AS loaded FROM (SELECT DISTINCT store_id, receipt_no, item_id FROM cl)""",
 )
 def stream_import(t):
-    """The dirty sale lines dropped as files, loaded by the import stream."""
+    """The dirty sale lines dropped as one file, loaded by the import stream."""
     root = f"{checkpoint_root(t.spark)}/drop-{uuid.uuid4().hex}"
-    dirty = cut_lineage(_dirty(t))
-    dirty.write.parquet(f"{root}/in")
+    dirty = _dirty(t)
+    dirty.coalesce(1).write.parquet(f"{root}/in")
     stream = t.spark.readStream.schema(dirty.schema).parquet(f"{root}/in")
     feeds.stream_import(t.spark, stream, "sales", f"{root}/out")
-    loaded = t.spark.read.parquet(f"{root}/out").select("store_id", "receipt_no", "item_id")
+    loaded = feeds.imported(t.spark, f"{root}/out").select(F.col("store_id").cast("long").alias("store_id"), "receipt_no", "item_id")
     count = loaded.agg(F.count(F.lit(1)).alias("loaded"))
     return loaded.join(F.broadcast(count))
+
+
+@query(
+    "stream_yard_hours",
+    """
+WITH m AS (SELECT date_trunc('hour', event_time) AS h, count(DISTINCT container_id) AS c, count(*) FILTER (event_type IN ('discharge', 'load')) AS t FROM container_events GROUP BY 1),
+e AS (SELECT date_trunc('hour', reading_time) AS h, round(count(*) FILTER (operational_state <> 'idle') * 100.0::DOUBLE / count(*) * 10000) / 10000 AS u, round(sum(energy_kwh) * 1000000) / 1000000 AS k FROM energy_readings GROUP BY 1),
+l AS (SELECT least((SELECT max(event_time) FROM container_events), (SELECT max(reading_time) FROM energy_readings)) AS newest)
+SELECT coalesce(m.h, e.h) AS metric_time, coalesce(c, 0) AS total_containers, coalesce(t, 0) AS throughput_teu, coalesce(u, 0) AS avg_utilization, coalesce(k, 0) AS total_energy_kwh
+FROM m FULL JOIN e ON e.h = m.h CROSS JOIN l WHERE coalesce(m.h, e.h) + INTERVAL 1 HOUR <= newest - INTERVAL 10 MINUTE""",
+)
+def stream_yard_hours(t):
+    """Container moves and meter readings as two live feeds, joined per closed hour."""
+    hours = feeds.collect_stream(feeds.yard_hours(_container_events(_event_stream(t)), _readings(_event_stream(t))))
+    return hours.withColumn("metric_time", F.col("metric_time").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_container_board",
+    """
+WITH k AS (SELECT *, CASE event_type WHEN 'vessel_arrival' THEN 'arrived' WHEN 'stack' THEN 'stacked' WHEN 'retrieve' THEN 'retrieving' WHEN 'load' THEN 'departed' END AS s,
+       lag(event_time) OVER (PARTITION BY container_id ORDER BY event_time, event_id) AS before FROM container_events),
+v AS (SELECT *, sum(CASE WHEN event_time - before > INTERVAL 2 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY container_id ORDER BY event_time, event_id) AS visit FROM k)
+SELECT container_id, min(event_time) AS visit_start, coalesce(arg_max(s, ROW(event_time, event_id)) FILTER (s IS NOT NULL), 'en_route') AS status,
+       max(event_time) FILTER (event_type = 'vessel_arrival') AS arrival_time, max(event_time) FILTER (event_type IN ('load', 'gate_out')) AS departure_time
+FROM (SELECT * FROM v QUALIFY visit = max(visit) OVER (PARTITION BY container_id)) GROUP BY container_id""",
+)
+def stream_container_board(t):
+    """Newest visit of every container; two days of silence end a visit."""
+    board = containers.container_board(_container_events(_event_stream(t)), silence_days=2)
+    newest = feeds.collect_stream(board, "update", ["container_id"], keyed=True)
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("visit_start", "arrival_time", "departure_time")]
+    return newest.select("container_id", "status", *times)
+
+
+@query(
+    "stream_contacts",
+    """
+WITH RECURSIVE q AS (SELECT user_id AS m, event_id % 25 AS c, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id % 25) AS k FROM events
+      WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) - 600000 FROM events) * 1000),
+l AS (SELECT campaign_id, cooldown_days, max_triggers_per_member FROM marketing_rules WHERE is_active),
+r AS (SELECT q.*, coalesce(cooldown_days, 7) * 86400000000 AS cool, coalesce(max_triggers_per_member, 3) AS most FROM q LEFT JOIN l ON l.campaign_id = q.c),
+f(m, k, hist, lock, sent, c, t) AS (
+  SELECT DISTINCT m, 0::BIGINT, []::STRUCT(c BIGINT, t BIGINT)[], -1::BIGINT, false, NULL::BIGINT, NULL::BIGINT FROM r
+  UNION ALL
+  SELECT m, k, CASE WHEN ok THEN list_append(hist, {c: c, t: t}) ELSE hist END, CASE WHEN ok THEN t + 86400000000 ELSE lock END, ok, c, t
+  FROM (SELECT r.m, r.k, f.hist, f.lock, r.c, r.t,
+          r.t > f.lock AND len(list_filter(f.hist, lambda h: h.c = r.c AND h.t >= r.t - 20 * 86400000000)) < r.most
+          AND len(list_filter(f.hist, lambda h: h.c = r.c AND h.t > r.t - r.cool AND h.t >= r.t - 20 * 86400000000)) = 0 AS ok
+        FROM f JOIN r ON r.m = f.m AND r.k = f.k + 1))
+SELECT m AS member_id, c AS campaign_id, make_timestamp(t) AS sent_at FROM f WHERE sent""",
+)
+def stream_contacts(t):
+    """Every event asks to contact its user by one of 25 campaigns; caps look back 20 days."""
+    requests = _event_stream(t).select(
+        F.col("user_id").alias("member_id"), (F.col("event_id") % 25).alias("campaign_id"), F.col("ts").alias("asked_at")
+    )
+    sent = feeds.collect_stream(contacts.contacts(requests, t("marketing_rules"), memory_days=20), keyed=True)
+    return sent.select("member_id", "campaign_id", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))

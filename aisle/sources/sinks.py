@@ -8,12 +8,14 @@ table half read and half written.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from aisle.session import cut_lineage
+from aisle.sources import hadoop
 
 
 def merge_rows(target: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str]) -> DataFrame:
@@ -52,34 +54,75 @@ def absent_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: lis
     return first_per_key(batch, keys, order).join(target.select(*keys), keys, "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def _read_like(path: str, df: DataFrame) -> DataFrame:
     """Stored table with the types of ``df``; partition folder names are not guessed."""
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def append_facts(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def _keyed_writer(df: DataFrame, keys: Sequence[str], folders: Sequence[str]) -> DataFrameWriter:
+    """Rows by folder, sorted by key inside files, with Bloom filters on the key columns that are no folders.
+
+    Row groups then have narrow key ranges, and readers skip those that cannot hold what they look for.
+    """
+    inner = [k for k in keys if k not in folders]
+    rows = df.hint("rebalance", *folders) if folders else df
+    writer = rows.sortWithinPartitions(*folders, *inner).write
+    for k in inner:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
+    return writer.partitionBy(*folders) if folders else writer
+
 
+def stored_near(path: str, batch: DataFrame, keys: Sequence[str], folders: Sequence[str], but: Column | None = None) -> DataFrame:
+    """Stored keys that may equal one of ``batch``: only its folders are listed, only row groups in its key ranges are read.
 
-def insert_if_absent(
-    path: str, batch: DataFrame, keys: list[str], order: list, partition_by: list[str] | None = None
-) -> dict[str, int]:
-    """Append the rows with new keys; first writer wins. Returns inserted and conflict counts."""
+    ``folders`` must be key columns. Their different values in the batch, at most as many as the table has folders of
+    interest to it, come to the driver as filter literals, with one least and greatest value for each other key column.
+    ``but`` leaves stored rows out.
+    """
     spark = batch.sparkSession
+    inner = [k for k in keys if k not in folders]
+    ends = [f(k).alias(f"{name}_{k}") for k in inner for name, f in (("low", F.min), ("high", F.max))]
+    found = batch.agg(F.count(F.lit(1)).alias("n"), *ends, *[F.collect_set(f).alias(f"in_{f}") for f in folders]).first()
+    fields = [batch.schema[k] for k in keys]
+    stored = spark.read.schema(StructType([*fields, *([StructField("batch", StringType())] if but is not None else [])])).parquet(path)
+    if but is not None:
+        stored = stored.where(but)
+    stored = stored.select(*keys)
+    if not found["n"]:
+        return stored.where(F.lit(False))
+    for f in folders:
+        stored = stored.where(F.col(f).isin(found[f"in_{f}"]))
+    for k in inner:
+        if found[f"low_{k}"] is not None:
+            stored = stored.where(F.col(k).between(F.lit(found[f"low_{k}"]), F.lit(found[f"high_{k}"])))
+    return stored
+
+
+def absent_from(
+    path: str, batch: DataFrame, keys: list[str], order: list, folders: Sequence[str] = (), but: Column | None = None
+) -> DataFrame:
+    """Batch rows whose key is not stored under ``path``, one row per key; see ``stored_near``."""
+    if not hadoop.exists(batch.sparkSession, path):
+        return first_per_key(batch, keys, order)
+    return absent_rows(stored_near(path, batch, keys, folders, but), batch, keys, order)
+
+
+def append_facts(df: DataFrame, path: str, partition_by: Sequence[str] = (), keys: Sequence[str] = ()) -> None:
+    _keyed_writer(df, keys, partition_by).mode("append").parquet(path) if keys else (
+        df.write.partitionBy(*partition_by) if partition_by else df.write
+    ).mode("append").parquet(path)
+
+
+def insert_if_absent(path: str, batch: DataFrame, keys: list[str], order: list, partition_by: list[str] | None = None) -> dict[str, int]:
+    """Append the rows with new keys; first writer wins. Returns inserted and conflict counts.
+
+    Folders that are key columns prune what is read of the stored rows; see ``stored_near``.
+    """
     rows = cut_lineage(batch, "insert")
-    if _exists(spark, path):
-        fresh = absent_rows(_read_like(path, rows), rows, keys, order)
-    else:
-        fresh = first_per_key(rows, keys, order)
-    kept = cut_lineage(fresh, "fresh")
+    folders = [c for c in partition_by or [] if c in keys]
+    kept = cut_lineage(absent_from(path, rows, keys, order, folders), "fresh")
     total, inserted = rows.count(), kept.count()
-    append_facts(kept, path, partition_by)
+    append_facts(kept, path, partition_by or [], keys)
     return {"inserted": inserted, "conflicts": total - inserted}
 
 
@@ -101,7 +144,7 @@ def upsert(path: str, updates: DataFrame, keys: list[str], update_cols: list[str
     if not set(partition_by) <= set(keys):
         raise ValueError("partition columns must belong to the key")
     spark = updates.sparkSession
-    if not _exists(spark, path):
+    if not hadoop.exists(spark, path):
         append_facts(updates, path, partition_by)
         return
     rows = cut_lineage(updates, "upsert")
@@ -127,7 +170,7 @@ def replace_slice(path: str, new: DataFrame, slice_cols: list[str], slices: Data
     """
     spark = new.sparkSession
     staged = cut_lineage(new, "slice")
-    if not _exists(spark, path):
+    if not hadoop.exists(spark, path):
         append_facts(staged, path, slice_cols)
         return
     _overwrite_partitions(staged, path, slice_cols)
@@ -137,13 +180,8 @@ def replace_slice(path: str, new: DataFrame, slice_cols: list[str], slices: Data
         # The folders are those that the stored rows lie in, however their names are escaped.
         folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
         stored = spark.read.schema(staged.schema).parquet(path).select(*slice_cols, folder).distinct()
-        for row in _touching(stored, gone, slice_cols).select("_folder").distinct().toLocalIterator():
-            _drop_folder(spark, row["_folder"])
-
-
-def _drop_folder(spark: SparkSession, uri: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        cleared = _touching(stored, gone, slice_cols).select("_folder").distinct()
+        hadoop.delete_uris(spark, [row["_folder"] for row in cleared.toLocalIterator()])
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -151,7 +189,7 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
-def load_atomic(batch: DataFrame, path: str) -> None:
+def load_atomic(batch: DataFrame, path: str, keys: Sequence[str] | None = None, folders: Sequence[str] = ()) -> None:
     """All rows or none: the files are complete in a staging folder before one rename shows them.
 
     The rename is a single call of the file system; a reader sees the batch folder whole or not at all.
@@ -159,8 +197,6 @@ def load_atomic(batch: DataFrame, path: str) -> None:
     spark = batch.sparkSession
     name = f"batch={uuid.uuid4().hex}"
     staging = f"{path.rstrip('/')}/_staging-{name}"
-    batch.write.parquet(staging)
-    jvm = spark._jvm.org.apache.hadoop.fs.Path
-    source, goal = jvm(staging), jvm(f"{path.rstrip('/')}/{name}")
-    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, goal):
+    _keyed_writer(batch, keys or [], folders).parquet(staging)
+    if not hadoop.rename(spark, staging, f"{path.rstrip('/')}/{name}"):
         raise OSError(f"could not publish {staging}")

@@ -8,17 +8,23 @@ makes every sink exactly-once. Nothing is gathered on the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from aisle.operators import cleaning, marketing, port
+from aisle.functions.scalars import round_to
+from aisle.operators import cleaning, port
 from aisle.session import checkpoint_root, cut_lineage
-from aisle.sources.sinks import _exists, _read_like, absent_rows, first_per_key
+from aisle.sources import hadoop
+from aisle.sources.sinks import _keyed_writer, _read_like, absent_from
 
 WATERMARK = "10 minutes"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def latest_state(readings: DataFrame) -> DataFrame:
@@ -41,13 +47,29 @@ def hourly_energy(readings: DataFrame) -> DataFrame:
 
 
 def hourly_moves(events: DataFrame) -> DataFrame:
-    """Container moves per closed hour (append mode)."""
-    timed = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
-    return (
-        timed.withWatermark("event_time", WATERMARK)
-        .groupBy(F.window("event_time", "1 hour"))
-        .agg(F.count_if(F.col("event_type").isin(port.MOVES)).alias("throughput_teu"))
-        .select(F.col("window.start").alias("metric_time"), "throughput_teu")
+    """Containers seen and moves per closed hour, as (window, total_containers, throughput_teu) (append mode)."""
+    timed = events.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", WATERMARK)
+    # Each container once an hour, then the hours; distinct counts are not for streams.
+    each = timed.groupBy(F.window("event_time", "1 hour"), "container_id").agg(F.count_if(F.col("event_type").isin(port.MOVES)).alias("_moves"))
+    return each.groupBy("window").agg(F.count("container_id").alias("total_containers"), F.sum("_moves").alias("throughput_teu"))
+
+
+def yard_hours(events: DataFrame, readings: DataFrame) -> DataFrame:
+    """Containers seen, moves, utilisation and kWh per closed hour, from two live feeds (append mode).
+
+    Each feed is folded per hour and the hours are joined, all of both. An hour is given out when the
+    later of the two feeds has passed its end by the lateness allowed, so a feed that lags holds
+    the hour back instead of leaving it half full.
+    """
+    timed = readings.withColumn("reading_time", F.col("reading_time").cast("timestamp")).withWatermark("reading_time", WATERMARK)
+    metered = timed.groupBy(F.window("reading_time", "1 hour")).agg(
+        round_to(F.count_if(F.col("operational_state") != "idle") * 100.0 / F.count(F.lit(1)), 4).alias("avg_utilization"),
+        round_to(F.sum("energy_kwh"), 6).alias("total_energy_kwh"),
+    )
+    joined = hourly_moves(events).join(metered, "window", "full_outer")
+    return joined.select(
+        F.col("window.start").alias("metric_time"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_containers", "throughput_teu", "avg_utilization", "total_energy_kwh")],
     )
 
 
@@ -66,19 +88,36 @@ def peak_alarms(readings: DataFrame, equipment: DataFrame, share: float = 0.9) -
     )
 
 
+@contextmanager
+def _state_store(spark: SparkSession, keyed: bool) -> Iterator[None]:
+    """Keyed state with timers lives in RocksDB; a query keeps the store that is set when it starts."""
+    if not keyed:
+        yield
+        return
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def run_available(
-    stream: DataFrame, write_batch: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None
-) -> None:
-    """Work off everything that is there and stop."""
+    stream: DataFrame, write_batch: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None,
+    keyed: bool = False,
+) -> StreamingQuery:
+    """Work off everything that is there and stop; ``keyed`` for streams with keyed state of their own."""
     place = checkpoint or f"{checkpoint_root(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", place)
-        .trigger(availableNow=True)
-        .foreachBatch(write_batch)
-        .start()
-    )
-    query.awaitTermination()
+    with _state_store(stream.sparkSession, keyed):
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", place)
+            .trigger(availableNow=True)
+            .foreachBatch(write_batch)
+            .start()
+        )
+        query.awaitTermination()
+    return query
 
 
 def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
@@ -88,11 +127,11 @@ def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def collect_stream(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+def collect_stream(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, keyed: bool = False) -> DataFrame:
     """Result of a drained stream as a batch table; with ``keys`` the newest version of each row."""
     spark = stream.sparkSession
     path = f"{checkpoint_root(spark)}/stream-out-{uuid.uuid4().hex}"
-    run_available(stream, batch_folder(path), mode)
+    run_available(stream, batch_folder(path), mode, keyed=keyed)
     stored = spark.read.parquet(path)
     if keys is None:
         return stored.drop("batch")
@@ -100,26 +139,30 @@ def collect_stream(stream: DataFrame, mode: str = "append", keys: list[str] | No
     return stored.groupBy(*keys).agg(F.max_by(payload, "batch").alias("_row")).select(*keys, "_row.*")
 
 
-def stream_sequence_gaps(ticks: DataFrame, root: str, checkpoint: str | None = None) -> None:
+def stream_sequence_gaps(ticks: DataFrame, root: str, checkpoint: str | None = None, silence: str = "7 days") -> None:
     """Ticks after which numbers are missing, under ``root/gaps``.
 
     The last tick of every source is written per batch and heads the next one. The
     gaps of a batch come from the bucketed lag, so a source with very many ticks
-    is spread over its hours.
+    is spread over its hours. A source that was silent for longer than ``silence`` starts anew,
+    so what is kept of it ends: its last tick goes once twice that time has passed.
     """
     spark = ticks.sparkSession
     columns = ["source_id", "seq", "received_at"]
+    pause = F.expr(f"interval {silence}")
 
     def find(df: DataFrame, batch_id: int) -> None:
         rows = df.select(*columns)
         before = f"{root}/last/batch={batch_id - 1}"
-        if _exists(spark, before):
+        if hadoop.exists(spark, before):
             known = _read_like(before, df.select(*columns))
             rows = rows.unionByName(known)
         rows = cut_lineage(rows)
-        gaps = port.sequence_gaps(rows)
+        gaps = port.sequence_gaps(rows, silence=silence)
         gaps.write.mode("overwrite").parquet(f"{root}/gaps/batch={batch_id}")
         last = rows.groupBy("source_id").agg(F.max(F.struct("received_at", "seq")).alias("_l"))
+        newest = rows.agg(F.max("received_at").alias("_newest"))
+        last = last.join(F.broadcast(newest)).where(F.col("_l.received_at") >= F.col("_newest") - pause - pause)
         last.select("source_id", "_l.seq", "_l.received_at").write.mode("overwrite").parquet(
             f"{root}/last/batch={batch_id}"
         )
@@ -127,46 +170,50 @@ def stream_sequence_gaps(ticks: DataFrame, root: str, checkpoint: str | None = N
     run_available(ticks, find, "append", checkpoint)
 
 
+#: Columns that name the import a row belongs to: its file, and when that arrived.
+FILE, ARRIVED = "_file", "_arrived"
+
+
 def stream_import(
     spark: SparkSession, stream: DataFrame, entity: str, target: str, checkpoint: str | None = None
 ) -> None:
-    """Clean and load dropped files as they come; known keys are skipped.
+    """Clean and load dropped files as they come, each file as one import; known keys are skipped.
+
+    Interpolation, duplicates and counts stay inside a file, and of equal keys the one of the file
+    that arrived first is kept, so how many files a micro-batch takes changes nothing. ``imports`` lists
+    the files with their counts, ``imported`` the rows of listed files.
 
-    A batch owns the folder ``batch=<id>``: when it is repeated after a failure it
-    looks only at the folders of other batches and writes its own again.
+    A batch owns the folder ``batch=<id>``: when it is repeated after a failure it looks only
+    at the folders of other batches and writes its own again. The list of its files is written last.
     """
-    keys = cleaning.CONFLICT_KEYS[entity]
+    keys, folders = cleaning.CONFLICT_KEYS[entity], cleaning.FOLDERS[entity]
+    unit = [FILE, ARRIVED]
+    named = stream.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_modification_time").alias(ARRIVED))
 
     def load(df: DataFrame, batch_id: int) -> None:
-        rows = cleaning.clean_rows(df, entity)
-        order = [F.struct(*[c for c in rows.columns if c not in keys])]
-        own = f"{target}/batch={batch_id}"
-        if _exists(spark, target):
-            with_batch = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
-            stored = spark.read.schema(with_batch).parquet(target)
-            fresh = absent_rows(stored.where(F.col("batch") != batch_id), rows, keys, order)
-        else:
-            fresh = first_per_key(rows, keys, order)
-        fresh.write.mode("overwrite").parquet(own)
-
-    run_available(stream, load, "append", checkpoint)
-
-
-def stream_triggers(
-    candidates: DataFrame, executions_path: str, rules: DataFrame, now: str, checkpoint: str | None = None
-) -> None:
-    """Contact lock and cooldown per micro-batch against the executions stored so far."""
-    spark = candidates.sparkSession
-
-    def send(df: DataFrame, batch_id: int) -> None:
-        stored = spark.read.parquet(executions_path).where(F.col("batch") != batch_id)
-        allowed = marketing.apply_cooldown(df.select("campaign_id", "member_id").distinct(), stored, rules, now)
-        # The lock holds inside the batch too: one contact per member, lowest campaign first.
-        chosen = allowed.groupBy("member_id").agg(F.min("campaign_id").alias("campaign_id"))
-        moment = F.lit(now).cast("timestamp_ntz")
-        rows = chosen.select(
-            "campaign_id", "member_id", moment.alias("sent_at"), moment.alias("triggered_at"), F.lit("sent").alias("status")
-        )
-        rows.write.mode("overwrite").parquet(f"{executions_path}/batch={batch_id}")
+        feed = cut_lineage(df, "feed")
+        rows = cut_lineage(cleaning.clean_rows(feed, entity, unit), "clean")
+        order = [ARRIVED, FILE, F.struct(*[c for c in rows.columns if c not in (*keys, *unit)])]
+        fresh = cut_lineage(absent_from(target, rows, keys, order, folders, F.col("batch") != str(batch_id)), "fresh")
+        _keyed_writer(fresh, keys, folders).mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        count = lambda rows, name: rows.groupBy(*unit).agg(F.count(F.lit(1)).alias(name))
+        listed = cleaning.clean_stats(feed, entity, unit).join(count(rows, "clean_rows"), unit, "left")
+        listed = listed.join(count(fresh, "success_rows"), unit, "left").fillna(0, ["clean_rows", "success_rows"])
+        listed = listed.withColumn("conflict_rows", F.col("clean_rows") - F.col("success_rows")).drop("clean_rows")
+        listed.write.mode("overwrite").parquet(f"{_files_of(target)}/batch={batch_id}")
+
+    run_available(named, load, "append", checkpoint)
+
+
+def _files_of(target: str) -> str:
+    return f"{target.rstrip('/')}_files"
+
+
+def imports(spark: SparkSession, target: str) -> DataFrame:
+    """One row per imported file: total, duplicate, error, success and conflict rows."""
+    return spark.read.parquet(_files_of(target))
+
 
-    run_available(candidates, send, "append", checkpoint)
+def imported(spark: SparkSession, target: str) -> DataFrame:
+    """Rows of files that are wholly imported."""
+    return spark.read.parquet(target).join(imports(spark, target).select("batch").distinct(), "batch", "left_semi").drop("batch", ARRIVED)

@@ -168,20 +168,6 @@ def test_gaps_across_batches(spark, tmp_path):
     assert gaps >= {(2, 5, 2)}
 
 
-def test_contact_lock_in_the_stream(spark, tmp_path):
-    executions, source = str(tmp_path / "x"), str(tmp_path / "in")
-    past = [(9, 3, "2024-01-01 20:00:00", "2024-01-01 20:00:00", "sent")]
-    spark.createDataFrame(past, "campaign_id long, member_id long, s string, t string, status string").select(
-        "campaign_id", "member_id", F.col("s").cast("timestamp_ntz").alias("sent_at"), F.col("t").cast("timestamp_ntz").alias("triggered_at"), "status"
-    ).write.parquet(f"{executions}/batch=-1")
-    spark.createDataFrame([(2, 1), (1, 1), (1, 3)], "campaign_id long, member_id long").coalesce(1).write.parquet(source)
-    rules = spark.createDataFrame([], "campaign_id long, cooldown_days int, max_triggers_per_member int, is_active boolean")
-    stream = spark.readStream.schema("campaign_id long, member_id long").parquet(source)
-    live.stream_triggers(stream, executions, rules, "2024-01-02 10:00:00", str(tmp_path / "state"))
-    sent = spark.read.parquet(executions).where("batch >= 0").select("campaign_id", "member_id").collect()
-    assert [tuple(r) for r in sent] == [(1, 1)]
-
-
 QUOTED = 'id,name,n\n1,"5"" nail, big",3\n2,"two\nlines",4\n3,plain,5\n4,"too, many",6,7,8\n5,"",\n6,short\n'
 
 
