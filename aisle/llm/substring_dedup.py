@@ -1,6 +1,6 @@
 """Substring deduplication: windows of 50 words that an earlier document holds, through FM-indexes of shards.
 
-Equal windows have the same smallest 5-gram at the same place; that gram is their anchor. A
+Equal windows have the same smallest 20-gram at the same place; that gram is their anchor. A
 stretch of windows with one anchor, its unit, is compared with the units of that anchor only,
 so the corpus falls into shards by anchor and each window goes to one shard. Anchors of one
 document need no comparing and equal units fold into the first of them before anything is
@@ -27,7 +27,7 @@ from aisle.llm.common import MIX, WordHashes, cut_lineage, finish, grams, runs
 from aisle.llm.fm_index import FmIndex
 
 WINDOW = 50
-GRAM = 5
+GRAM = 20
 SPAN = WINDOW - GRAM + 1
 #: Words of a shard's index, about; an anchor's units stay together.
 SHARD_WORDS = 150_000
