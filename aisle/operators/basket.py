@@ -1,14 +1,16 @@
 """Market-basket analysis: baskets, adaptive support, itemsets, rules, graph and clusters.
 
-Everything runs for all slices (stores) at once. Work stays on rows of (basket,
-item) and (basket, itemset), never on one array per basket, so a receipt with very
-many lines is spread like any other rows.
+Everything runs for all slices (stores) at once. Itemsets are found by vertical search in
+projections of baskets on their items; of a basket only its frequent items are ever one array.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from aisle.sources.sinks import replace_slice
 SLICE = "store_id"
 BASKET = "receipt_no"
 ITEM = "item_id"
+#: Entries of projected baskets that one task searches; items with more are extended first.
+TASK_ENTRIES = 2_000_000
 
 
 def baskets(sales: DataFrame, category: str | None = None, min_items: int = 2) -> DataFrame:
@@ -74,80 +78,99 @@ def _frequent_items(basket_rows: DataFrame, thresholds: DataFrame | None, base:
     ).select(SLICE, ITEM, "support_count", "min_count")
 
 
-def _pairs(kept: DataFrame) -> DataFrame:
-    """(basket, item pair) rows; both items are frequent, so a basket's pairs are at most the candidates."""
-    left = kept.select(SLICE, BASKET, F.col(ITEM).alias("_a"), F.col("min_count").alias("_ma"))
-    right = kept.select(SLICE, BASKET, F.col(ITEM).alias("_b"), F.col("min_count").alias("_mb"))
-    return left.join(right, [SLICE, BASKET]).where(F.col("_a") < F.col("_b")).select(
-        SLICE, BASKET, F.array("_a", "_b").alias("items"), F.least("_ma", "_mb").alias("min_count")
-    )
-
+def _projections(kept: DataFrame) -> DataFrame:
+    """For each item of each basket the basket's later items: (slice, prefix, least, tail).
 
-def _candidates(frequent: DataFrame) -> DataFrame:
-    """Sets one item larger that are the union of two frequent sets.
-
-    Each frequent set is listed under every subset that lacks one item; sets met
-    under one subset differ in one item. The tables hold itemsets, not baskets.
-    Each candidate keeps one frequent part and the item that completes it.
+    Items are ordered by their least count, so a set's count must reach that of its first item, and
+    inside the projections of one first item a part of a frequent set is frequent.
     """
-    parts = frequent.select(
-        SLICE, "items", "min_count", F.explode("items").alias("_extra")
-    ).withColumn("_core", F.array_remove("items", F.col("_extra")))
-    a = parts.select(SLICE, "_core", F.col("items").alias("part"), F.col("_extra").alias("_x"), F.col("min_count").alias("_m1"))
-    b = parts.select(SLICE, "_core", F.col("_extra").alias("extra"), F.col("min_count").alias("_m2"))
-    joined = a.join(b, [SLICE, "_core"]).where(F.col("_x") != F.col("extra"))
-    return (
-        joined.withColumn("items", F.array_sort(F.concat("part", F.array("extra"))))
-        .groupBy(SLICE, "items")
-        .agg(
-            F.min(F.struct("part", "extra")).alias("_pick"),
-            F.min(F.least("_m1", "_m2")).alias("min_count"),
-        )
-        .select(SLICE, "items", "_pick.part", "_pick.extra", "min_count")
-    )
-
-
-def _count(occurrences: DataFrame) -> DataFrame:
-    return occurrences.groupBy(SLICE, "items").agg(
-        F.count(F.lit(1)).alias("support_count"), F.min("min_count").alias("min_count")
-    ).where(F.col("support_count") >= F.col("min_count"))
+    order = F.array_sort(F.collect_list(F.struct("min_count", ITEM))).alias("_items")
+    listed = kept.groupBy(SLICE, BASKET).agg(order).select(SLICE, "_items", F.posexplode("_items").alias("_at", "_first"))
+    after = F.expr("transform(slice(_items, _at + 2, size(_items)), x -> x.item_id)")
+    return listed.select(SLICE, F.array(f"_first.{ITEM}").alias("prefix"), F.col("_first.min_count").alias("least"), after.alias("tail"))
+
+
+def _longer(projections: DataFrame) -> DataFrame:
+    """Each prefix longer by one item of its tails."""
+    listed = projections.select(SLICE, "prefix", "least", "tail", F.posexplode("tail").alias("_at", "_next"))
+    after = F.expr("slice(tail, _at + 2, size(tail))")
+    return listed.select(SLICE, F.concat("prefix", F.array("_next")).alias("prefix"), "least", after.alias("tail"))
+
+
+def _extensions(items: list, bits: list[int], least: float, depth: int | None) -> Iterator[tuple[list, int]]:
+    """Frequent sets of items with a bitmap of baskets each, in every order-preserving combination, with their counts."""
+    for k, (item, own) in enumerate(zip(items, bits, strict=True)):
+        yield [item], own.bit_count()
+        if depth is not None and depth <= 1:
+            continue
+        further = [(x, met) for x, b in zip(items[k + 1 :], bits[k + 1 :], strict=True) if (met := own & b).bit_count() >= least]
+        if further:
+            for rest, count in _extensions(*map(list, zip(*further, strict=True)), least, None if depth is None else depth - 1):
+                yield [item, *rest], count
+
+
+def _mine(max_k: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """All frequent sets that begin with the prefix of a group of projections, from bitmaps of its baskets per item."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        prefix, least, store = list(group["prefix"].iloc[0]), group["least"].iloc[0], group[SLICE].iloc[0]
+        codes, items = pd.factorize(pd.Series(np.concatenate(group["tail"].to_numpy())))
+        basket = np.repeat(np.arange(len(group)), group["tail"].map(len))
+        counts = np.bincount(codes)
+        found = []
+        for code in np.flatnonzero(counts >= least):
+            held = np.zeros(len(group), bool)
+            held[basket[codes == code]] = True
+            found.append((code, int.from_bytes(np.packbits(held).tobytes(), "big")))
+        # Any one order will do here: all sets of the group have the same least count.
+        deeper = None if max_k is None else max_k - len(prefix)
+        rows = _extensions([items[c] for c, _ in found], [b for _, b in found], least, deeper) if deeper is None or deeper > 0 else ()
+        sets = [(store, prefix + more, count) for more, count in rows]
+        return pd.DataFrame(sets, columns=[SLICE, "items", "support_count"])
+
+    return run
 
 
 def frequent_itemsets(
     basket_rows: DataFrame, base: float, thresholds: DataFrame | None = None, max_k: int | None = None
 ) -> DataFrame:
-    """Itemsets whose count reaches the lowest threshold of their items, level by level.
+    """Sets of frequent items whose count reaches the lowest threshold of their items, of any size unless ``max_k`` is given.
 
-    With thresholds per item a part of a frequent set need not be frequent itself,
-    so sets grow from any two frequent parts. Each level counts by joining the
-    baskets that hold a part with the item that completes it. Without ``max_k`` levels
-    end where none of their sets is frequent.
+    Baskets are projected on each of their items, the one of the lowest threshold first, and each
+    item's projections are searched in one task from bitmaps of baskets per item. An item with more projections
+    than a task should hold is extended by a second item first, and so on, so hot items spread.
+    A basket of n items is n rows, never its pairs; pairs that are not frequent leave no task.
     """
     basket_rows = cut_lineage(basket_rows)
     singles = cut_lineage(_frequent_items(basket_rows, thresholds, base))
-    kept = cut_lineage(basket_rows.join(singles.select(SLICE, ITEM, "min_count"), [SLICE, ITEM]))
-    levels = [singles.select(SLICE, F.array(ITEM).alias("items"), "support_count")]
-    inside, k = _pairs(kept), 2
-    while max_k is None or k <= max_k:
-        inside = cut_lineage(inside) if k > 2 else inside
-        frequent = cut_lineage(_count(inside))
-        if frequent.isEmpty():
-            break
-        levels.append(frequent.select(SLICE, "items", "support_count"))
-        k += 1
-        if max_k is not None and k > max_k:
-            break
-        holders = inside.join(frequent.select(SLICE, "items"), [SLICE, "items"], "left_semi").select(
-            SLICE, BASKET, F.col("items").alias("part")
+    found = [singles.select(SLICE, F.array(ITEM).alias("items"), "support_count")]
+    level = _projections(basket_rows.join(singles.select(SLICE, ITEM, "min_count"), [SLICE, ITEM]))
+    kind = singles.schema[ITEM].dataType.simpleString()
+    store = singles.schema[SLICE].dataType.simpleString()
+    k = 1
+    while max_k is None or k < max_k:
+        level = cut_lineage(level, "projections")
+        sizes = level.groupBy(SLICE, "prefix").agg(
+            F.count(F.lit(1)).alias("support_count"), F.min("least").alias("_least"), F.sum(F.size("tail")).alias("_entries")
         )
-        # The basket's own items first: a part may belong to far more candidates than a basket has items.
-        grown = holders.join(kept.select(SLICE, BASKET, F.col(ITEM).alias("extra")), [SLICE, BASKET])
-        inside = (
-            grown.where(~F.array_contains("part", F.col("extra")))
-            .join(_candidates(frequent), [SLICE, "part", "extra"])
-            .select(SLICE, BASKET, "items", "min_count")
+        sizes = cut_lineage(sizes.where(F.col("support_count") >= F.col("_least")), "prefixes")
+        if k > 1:
+            found.append(sizes.select(SLICE, F.col("prefix").alias("items"), "support_count"))
+        large = F.col("_entries") > TASK_ENTRIES
+        alive = level.join(sizes.select(SLICE, "prefix", large.alias("_large")), [SLICE, "prefix"]).where(F.size("tail") > 0)
+        mined = alive.where("NOT _large").groupBy(SLICE, "prefix").applyInPandas(
+            _mine(max_k), f"{SLICE} {store}, items array<{kind}>, support_count long"
         )
-    return reduce(DataFrame.unionByName, levels)
+        found.append(cut_lineage(mined, "itemsets"))
+        if sizes.where(large).isEmpty():
+            break
+        level = _longer(alive.where("_large"))
+        k += 1
+    else:
+        if k > 1:
+            last = level.groupBy(SLICE, "prefix").agg(F.count(F.lit(1)).alias("support_count"), F.min("least").alias("_least"))
+            found.append(last.where(F.col("support_count") >= F.col("_least")).select(SLICE, F.col("prefix").alias("items"), "support_count"))
+    return reduce(DataFrame.unionByName, found).withColumn("items", F.array_sort("items"))
 
 
 def _subset(mask: str, keep: bool) -> Column:

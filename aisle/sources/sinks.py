@@ -66,9 +66,11 @@ def _keyed_writer(df: DataFrame, keys: Sequence[str], folders: Sequence[str]) ->
     """
     inner = [k for k in keys if k not in folders]
     rows = df.hint("rebalance", *folders) if folders else df
-    writer = rows.sortWithinPartitions(*folders, *inner).write
+    writer = (rows.sortWithinPartitions(*folders, *inner) if keys else rows).write
     for k in inner:
         writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
+    # Each filter gets the size that its keys need.
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     return writer.partitionBy(*folders) if folders else writer
 
 
