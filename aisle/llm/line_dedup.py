@@ -1,10 +1,11 @@
 """Line deduplication by a tree of line templates.
 
 A line goes down a tree of fixed depth: first by its number of tokens, then by its first
-three tokens. Tokens with a digit are variable fields from the start. In the leaf that it
-reaches, a token that few documents have at its place is a variable field too. What remains
-is the line's template, if enough of its tokens are constant. Templates that recur in many
-documents are boilerplate: their lines go, except in the first document that has one.
+three tokens. A shorter line, and a line in a script without blanks, is a leaf of its own. Tokens with
+a digit are variable fields from the start. In the leaf that it reaches, a token that few lines of
+documents have at its place is a variable field too. What remains is the line's template,
+if enough of its tokens are constant. Templates that recur in many different documents are
+boilerplate: their lines go, except in the first document that has one.
 
 All on DataFrame functions. Leaves and lines are known by two 64-bit hashes together; texts
 are read for one line of each kind, and only in leaves that hold more than one kind.
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from aisle.llm.common import cut_lineage, spare
 
-#: Leading tokens that the tree branches on; shorter lines are no templates.
+#: Leading tokens that the tree branches on.
 LEADING = 3
-#: Documents that make a template recurring, and a token a constant of its place.
+#: Different documents that make a template recurring; lines of documents that make a token a constant of its place.
 LEAST_DOCUMENTS = 10
 #: Share of a line's tokens that must be constant.
 CONSTANT_SHARE = 0.7
@@ -41,17 +42,27 @@ def _tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def _fields(line: Column) -> Column:
+    """How many tokens of a line are fields."""
+    listed = F.size(F.filter(F.split(line, " "), lambda t: t == FIELD))
+    return F.when(F.contains(line, F.lit(FIELD)), listed).otherwise(0)
+
+
 def _placed(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, body, no, leaf, line): every line that is long enough, by hashes. ``body`` stands for the text."""
+    """Rows (doc_id, body, no, leaf, line, firm): every line with a token, by hashes; ``body`` stands for the text.
+
+    ``firm`` lines are constant enough as they stand.
+    """
     found = F.filter(
         F.transform(
             _lines(F.col("text")),
             lambda line, no: F.when(
-                (line != "") & (_tokens(line) >= LEADING),
+                line != "",
                 F.struct(
                     no.alias("no"),
                     F.xxhash64(_tokens(line), F.substring_index(line, " ", LEADING)).alias("leaf"),
                     F.xxhash64(line).alias("line"),
+                    (_tokens(line) - _fields(line) >= CONSTANT_SHARE * _tokens(line)).alias("firm"),
                 ),
             ),
         ),
@@ -62,9 +73,9 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 def _recurring(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """Rows (leaf, line, first): lines of recurring templates and the first document that has the template."""
-    once = placed.groupBy("leaf", "line", "doc_id", "body").agg(F.min("no").alias("no"))
+    once = placed.groupBy("leaf", "line", "doc_id", "body").agg(F.min("no").alias("no"), F.first("firm").alias("firm"))
     kinds = once.groupBy("leaf", "line").agg(
-        F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "body", "no")).alias("at")
+        F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "body", "no")).alias("at"), F.first("firm").alias("firm")
     )
     kinds = cut_lineage(kinds, "kinds")
     # Lines in many documents are templates as they stand; others may become one in a leaf with company.
@@ -97,10 +108,16 @@ def _recurring(docs: DataFrame, placed: DataFrame) -> DataFrame:
     named = lines.join(templates.select("leaf", "line", F.col("parts.token").alias("template")), ["leaf", "line"])
     named = named.select("leaf", "line", "docs", "first", F.sha2(F.array_join("template", " "), 256).alias("template"))
     named = cut_lineage(named, "named")
-    counted = named.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
-    counted = counted.where(F.col("docs") >= LEAST_DOCUMENTS).drop("docs")
+    sums = named.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.count(F.lit(1)).alias("lines"))
+    sums = sums.where(F.col("docs") >= LEAST_DOCUMENTS)
+    # A document may hold several lines of a template: documents are told apart before they are counted.
+    open_ = named.join(sums.where("lines > 1").select("leaf", "template"), ["leaf", "template"]).select("leaf", "line", "template")
+    holders = placed.select("leaf", "line", "doc_id", "body").join(open_, ["leaf", "line"]).groupBy("leaf", "template", "doc_id", "body").agg(F.lit(1).alias("one"))
+    enough = holders.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select("leaf", "template")
+    enough = enough.unionByName(sums.where("lines = 1").select("leaf", "template"))
+    counted = sums.select("leaf", "template", "first").join(enough, ["leaf", "template"])
     by_template = named.select("leaf", "line", "template").join(counted, ["leaf", "template"]).select("leaf", "line", "first")
-    alone = kinds.where(F.col("docs") >= LEAST_DOCUMENTS).select("leaf", "line", "first")
+    alone = kinds.where((F.col("docs") >= LEAST_DOCUMENTS) & F.col("firm")).select("leaf", "line", "first")
     both = by_template.unionByName(alone).groupBy("leaf", "line").agg(F.min("first").alias("first"))
     return cut_lineage(both, "recurring")
 
@@ -131,7 +148,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, their texts without the lines of recurring templates.
 
     Cases: a null text stays null and an empty one empty; a text of which every line goes is
-    empty, its row stays; lines of fewer than three tokens stay; of the documents that share
+    empty, its row stays; a line of one or two tokens is a template by its exact text; of the documents that share
     a template the one of smallest doc_id keeps its lines, a null id only where there is no
     other; rows that repeat id and text count once and are treated alike; an empty table gives no
     rows; columns of any name are handed through.
@@ -163,7 +180,7 @@ def oracle() -> str:
     ), placed AS (
       SELECT *, string_split(line, ' ') AS t, len(string_split(line, ' ')) AS n FROM masked WHERE line <> ''
     ), leafed AS (
-      SELECT *, n || ' ' || array_to_string(t[1:{LEADING}], ' ') AS leaf FROM placed WHERE n >= {LEADING}
+      SELECT *, n || ' ' || array_to_string(t[1:{LEADING}], ' ') AS leaf FROM placed
     ), kinds AS (
       SELECT leaf, line, any_value(t) AS t, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM leafed GROUP BY ALL
     ), crowded AS (
@@ -179,11 +196,13 @@ def oracle() -> str:
     ), named AS (
       SELECT k.leaf, k.line, k.docs, k.first, template FROM kinds k JOIN templates USING (leaf, line)
     ), counted AS (
-      SELECT leaf, template, min(first) AS first FROM named GROUP BY ALL HAVING sum(docs) >= {LEAST_DOCUMENTS}
+      SELECT n.leaf, template, min(n.first) AS first FROM named n JOIN leafed l ON l.leaf = n.leaf AND l.line = n.line
+      GROUP BY n.leaf, template HAVING count(DISTINCT l.doc_id) >= {LEAST_DOCUMENTS}
     ), recurring AS (
       SELECT leaf, line, min(first) AS first FROM (
         SELECT leaf, line, c.first FROM named JOIN counted c USING (leaf, template)
-        UNION ALL SELECT leaf, line, first FROM kinds WHERE docs >= {LEAST_DOCUMENTS}
+        UNION ALL SELECT leaf, line, first FROM kinds
+        WHERE docs >= {LEAST_DOCUMENTS} AND len(list_filter(t, lambda x: x <> '{FIELD}')) >= {CONSTANT_SHARE}::DOUBLE * len(t)
       ) GROUP BY ALL
     ), gone AS (
       SELECT DISTINCT doc_id, no FROM leafed JOIN recurring USING (leaf, line) WHERE doc_id IS DISTINCT FROM first

@@ -17,7 +17,7 @@ def drops(rows):
         for no, own in enumerate([] if t is None else t.split("\n")):
             line = re.sub(ld.NUMBERED, ld.FIELD, re.sub(ld.BLANKS, " ", own).strip(" "))
             tokens = line.split(" ")
-            if line and len(tokens) >= ld.LEADING:
+            if line:
                 leaf = (len(tokens), *tokens[: ld.LEADING])
                 placed.append((line, (d, t), no))
                 docs[line].add((d, t))
@@ -27,7 +27,8 @@ def drops(rows):
     for lines in leaves.values():
         weight = Counter()
         for line in lines:
-            if len(docs[line]) >= ld.LEAST_DOCUMENTS:
+            firm = [t != ld.FIELD for t in line.split(" ")]
+            if len(docs[line]) >= ld.LEAST_DOCUMENTS and sum(firm) >= ld.CONSTANT_SHARE * len(firm):
                 found[line].append(first([line]))
             for e in enumerate(line.split(" ")):
                 weight[e] += len(docs[line])
@@ -37,7 +38,7 @@ def drops(rows):
             if sum(constant) / len(constant) >= ld.CONSTANT_SHARE:
                 templates[tuple(t if c else ld.FIELD for t, c in zip(line.split(" "), constant, strict=True))].append(line)
         for alike in templates.values():
-            if sum(len(docs[line]) for line in alike) >= ld.LEAST_DOCUMENTS:
+            if len(set().union(*(docs[line] for line in alike))) >= ld.LEAST_DOCUMENTS:
                 for line in alike:
                     found[line].append(first(alike))
     out = defaultdict(set)
@@ -97,3 +98,13 @@ def test_hot_line_without_ids(spark):
     rows = [(None, f"the same line here\nown {i} words of it") for i in range(12)] + [(5, "the same line here")]
     found = ld.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, found), key=repr) == expected(rows)
+
+
+def test_short_lines_and_variants_of_one_document(spark):
+    """Short lines and lines without blanks recur like others; numbers alone do not; variants in one document count once."""
+    own = [f"own {'abcdefghijkl'[i]}" for i in range(12)]
+    rows = [(i, f"Les.\nRead more\n{i}\n全文を読むにはここをクリック\n{own[i]}") for i in range(12)]
+    rows.append((50, "\n".join(f"the first words of {c} and nothing else" for c in "abcdefghijkl")))
+    found = ld.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=repr) == expected(rows)
+    assert {r.n_dropped for r in found if 0 < r.doc_id < 12} == {3} and {r.n_dropped for r in found if r.doc_id in (0, 50)} == {0}
