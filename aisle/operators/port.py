@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisle.functions import ordered
 from aisle.functions.listing import page, top_k
 from aisle.functions.scalars import round_to, safe_div
-from aisle.session import cut_lineage
 
 RATE = 0.85
 # Status after an event; inspection changes nothing.
@@ -28,6 +24,7 @@ EVENT_STATUS = {
 MOVES = ["discharge", "load"]
 GATE_MOVES = ["discharge", "load", "gate_in", "gate_out"]
 PEOPLE_PER_BUCKET = 10000
+SHIFTS_PER_BUCKET = 1000
 
 
 def _between(df: DataFrame, col: str, start: str | None, end: str | None) -> DataFrame:
@@ -162,64 +159,101 @@ def shift_slots(shifts: DataFrame) -> DataFrame:
     """
     need = F.from_json("required_positions", "map<string,int>", {"allowSingleQuotes": "true"})
     rows = shifts.select(F.col("id").alias("shift_id"), "shift_name", F.explode(need).alias("position", "need"))
-    before = rows.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("shift_id", "need"))).alias("_all"))
-    # A shift table holds a handful of rows per position.
-    earlier = F.filter("_all", lambda s: s["shift_id"] < F.col("shift_id"))
-    taken = F.aggregate(earlier, F.lit(0), lambda a, s: a + s["need"])
-    return rows.join(before, "position").withColumn("before", taken).drop("_all")
+    rows = rows.withColumn("_bucket", F.floor(F.col("shift_id") / SHIFTS_PER_BUCKET))
+    upto = ordered.running_sum(rows, ["position"], "_bucket", [F.col("shift_id")], F.col("need"), "_upto")
+    return upto.withColumn("before", F.col("_upto") - F.col("need")).drop("_upto", "_bucket")
 
 
-def assign_day(people: DataFrame, shifts: DataFrame, load: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
-    """Roster of one day and its gaps: the least loaded people fill the shifts in order.
-
-    Everybody works once a day, so the n-th person of a position takes the n-th
-    slot. People are numbered in buckets of load and id, slots are listed, and the
-    two meet by equality.
-    """
-    staff = (
+def _staff(people: DataFrame, load: DataFrame) -> DataFrame:
+    """Active people with their load so far."""
+    return (
         people.where("is_active")
         .select(F.col("id").alias("personnel_id"), "position")
         .join(load.select("personnel_id", "shift_count"), "personnel_id", "left")
-        .withColumn("_load", F.coalesce("shift_count", F.lit(0)))
-        .withColumn("_bucket", F.struct("_load", F.floor(F.col("personnel_id") / PEOPLE_PER_BUCKET)))
+        .select("personnel_id", "position", F.coalesce("shift_count", F.lit(0)).cast("long").alias("_load"))
     )
-    ranked = ordered.position(staff, ["position"], "_bucket", [F.col("personnel_id")], "slot")
-    demand = shift_slots(shifts)
-    slots = demand.where(F.col("need") > 0).withColumn(
+
+
+def _slots(demand: DataFrame) -> DataFrame:
+    """One row per person wanted, numbered through the shifts of a position."""
+    return demand.where(F.col("need") > 0).withColumn(
         "slot", F.explode(F.sequence((F.col("before") + 1).cast("long"), (F.col("before") + F.col("need")).cast("long")))
     )
-    today = F.lit(day).cast("date")
-    roster = slots.join(ranked, ["position", "slot"]).select(
-        today.alias("schedule_date"), "shift_id", "personnel_id", "position"
-    )
+
+
+def _shortage(demand: DataFrame, staff: DataFrame) -> DataFrame:
+    """Shifts that are not filled; the same on every day, as everybody may work once a day."""
     heads = staff.groupBy("position").agg(F.count(F.lit(1)).alias("_heads"))
     short = demand.join(heads, "position", "left").withColumn("_heads", F.coalesce("_heads", F.lit(0)))
     free = F.col("_heads") - F.col("before")
-    gaps = short.where((free <= 0) | (free < F.col("need"))).select(
-        today.alias("schedule_date"), "shift_id", "position",
-        F.when(free <= 0, "no_eligible").otherwise("understaffed").alias("constraint_type"),
+    return short.where((free <= 0) | (free < F.col("need"))).select(
+        "shift_id", "position", F.when(free <= 0, "no_eligible").otherwise("understaffed").alias("constraint_type"),
         "need", F.greatest(free, F.lit(0)).alias("available"),
     )
-    return roster, gaps
+
+
+def assign_day(people: DataFrame, shifts: DataFrame, load: DataFrame, day: str) -> tuple[DataFrame, DataFrame]:
+    """Roster of one day and its gaps: the least loaded people fill the shifts in order.
+
+    Everybody works once a day, so the n-th person of a position takes the n-th
+    slot. People are numbered in buckets of load and id, slots are listed, and the
+    two meet by equality.
+    """
+    return assign_horizon(people, shifts, load, day, 1)
+
+
+def _water_levels(staff: DataFrame, demand: DataFrame, days: int) -> DataFrame:
+    """For each position and day the load up to which people have been filled, and how many turns at that load are taken.
+
+    A person of load L has turns at the loads L, L + 1, ..., one a day. Taking the least loaded people every day
+    takes, up to day d, the d times as many least turns among everybody's first d; where that cut
+    falls is read off the number of people per load.
+    """
+    loads = staff.groupBy("position", "_load").agg(F.count(F.lit(1)).alias("_people"))
+    heads = loads.groupBy("position").agg(F.sum("_people").alias("_heads"), F.min("_load").alias("_low"), F.max("_load").alias("_high"))
+    wanted = demand.where(F.col("need") > 0).groupBy("position").agg(F.sum("need").alias("_need"))
+    goals = heads.join(wanted, "position").select(
+        "position", "_low", "_high", F.least("_need", "_heads").alias("_daily"), F.explode(F.sequence(F.lit(1), F.lit(days))).alias("_day")
+    )
+    levels = goals.withColumn("_level", F.explode(F.sequence("_low", F.col("_high") + days)))
+    turns = F.least(F.col("_day").cast("long"), F.greatest(F.lit(0), F.col("_level") - F.col("_load") + 1))
+    at_level = F.col("_load").between(F.col("_level") - F.col("_day") + 1, F.col("_level"))
+    filled = levels.join(loads, "position").groupBy("position", "_day", "_level", "_daily").agg(
+        F.sum(F.col("_people") * turns).alias("_upto"), F.sum(F.when(at_level, F.col("_people")).otherwise(0)).alias("_here")
+    )
+    goal = F.col("_daily") * F.col("_day")
+    cut = filled.where(F.col("_upto") >= goal).groupBy("position", "_day").agg(
+        F.min(F.struct("_level", (goal - F.col("_upto") + F.col("_here")).alias("_taken"))).alias("_cut")
+    )
+    return cut.select("position", "_day", "_cut.*")
 
 
 def assign_horizon(
     people: DataFrame, shifts: DataFrame, load: DataFrame, start: str, days: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Day rosters one after another; each day's work adds to the load of the next."""
-    first = date.fromisoformat(start)
-    rosters, gaps = [], []
-    for offset in range(days):
-        roster, missing = assign_day(people, shifts, load, (first + timedelta(days=offset)).isoformat())
-        roster = cut_lineage(roster)
-        worked = roster.groupBy("personnel_id").agg(F.count(F.lit(1)).alias("shift_count"))
-        load = load.select("personnel_id", "shift_count").unionByName(worked).groupBy("personnel_id").agg(
-            F.sum("shift_count").alias("shift_count")
-        )
-        rosters.append(roster)
-        gaps.append(missing)
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return union(rosters), union(gaps)
+    """Day rosters and gaps of a horizon; each day's work adds to the load of the next.
+
+    All days come from one plan: how often each person has worked by each day follows from the water level
+    of the position, and whoever has one turn more than the day before works that day.
+    """
+    staff, demand = _staff(people, load), shift_slots(shifts)
+    level, taken, loaded = F.col("_level"), F.col("_taken"), F.col("_load")
+    turns = staff.join(_water_levels(staff, demand, days), "position").withColumn("_bucket", F.floor(F.col("personnel_id") / PEOPLE_PER_BUCKET))
+    at_level = loaded.between(level - F.col("_day") + 1, level)
+    turns = ordered.running_sum(turns, ["position", "_day"], "_bucket", [F.col("personnel_id")], at_level.cast("long"), "_rank")
+    worked = F.least(F.col("_day").cast("long"), F.greatest(F.lit(0), level - loaded)) + (at_level & (F.col("_rank") <= taken)).cast("long")
+    by_day = Window.partitionBy("personnel_id").orderBy("_day")
+    turns = turns.withColumn("_worked", worked).withColumn("_before", F.coalesce(F.lag("_worked").over(by_day), F.lit(0)))
+    workers = turns.where(F.col("_worked") > F.col("_before")).select(
+        "position", "_day", "personnel_id", F.struct((loaded + F.col("_before")).alias("load"), F.col("_bucket").alias("ids")).alias("_bucket")
+    )
+    ranked = ordered.position(workers, ["position", "_day"], "_bucket", [F.col("personnel_id")], "slot")
+    day = F.date_add(F.lit(start).cast("date"), F.col("_day") - 1).alias("schedule_date")
+    roster = _slots(demand).join(ranked, ["position", "slot"]).select(day, "shift_id", "personnel_id", "position")
+    gaps = _shortage(demand, staff).withColumn("_day", F.explode(F.sequence(F.lit(1), F.lit(days)))).select(
+        day, "shift_id", "position", "constraint_type", "need", "available"
+    )
+    return roster, gaps
 
 
 def recent_load(schedules: DataFrame, as_of: str) -> DataFrame:

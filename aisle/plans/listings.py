@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from aisle.functions import listing, scope
 from aisle.operators import cleaning, demand, energy, port, quality, replenishment
 from aisle.plans.feeds import _KEYED, _dirty, _filled, _value
+from aisle.plans.meters import _SLOTS
 from aisle.plans.registry import query
 from aisle.session import checkpoint_root
 from aisle.sources import feeds as sources
@@ -357,8 +358,25 @@ def violations(t):
     return port.violations(log, people, start="2001-01-01")
 
 
-@query("assign_horizon")
+def _greedy_days(days: int) -> str:
+    """Day after day: number the people by load, who comes into the slots works, their load grows by one."""
+    parts = []
+    for d in range(1, days + 1):
+        load = "coalesce(shift_count, 0)" if d == 1 else "load + CASE WHEN r <= total THEN 1 ELSE 0 END"
+        source = "personnel p LEFT JOIN ld ON ld.personnel_id = p.id WHERE is_active" if d == 1 else f"r{d - 1} JOIN tot USING (position)"
+        who = "p.id AS personnel_id" if d == 1 else "personnel_id"
+        parts.append(f"l{d} AS (SELECT {who}, position, {load} AS load FROM {source}), r{d} AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY load, personnel_id) AS r FROM l{d})")
+    return ", ".join(parts)
+
+
+@query(
+    "assign_horizon",
+    f"""
+WITH {_SLOTS}, tot AS (SELECT position, sum(need) AS total FROM nd GROUP BY position), {_greedy_days(3)},
+al AS ({" UNION ALL ".join(f"SELECT DATE '2001-07-25' + {d - 1} AS schedule_date, * FROM r{d}" for d in (1, 2, 3))})
+SELECT schedule_date, shift_id, personnel_id, nb.position FROM nb JOIN al ON al.position = nb.position AND r > b AND r <= b + need""",
+)
 def assign_horizon(t):
-    """Three days in a row; checked against the plain greedy loop in the tests."""
+    """Three days in a row."""
     load = port.recent_load(t("duty_schedules"), "2001-07-25")
     return port.assign_horizon(t("personnel"), t("shifts"), load, "2001-07-25", 3)[0]

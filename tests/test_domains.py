@@ -214,6 +214,25 @@ def test_roster_equals_the_greedy_loop(spark):
         assert port.double_booked(roster).count() == 0
 
 
+def test_roster_of_many_days_equals_the_greedy_loop(spark):
+    """Loads far apart: who is far below the others works every day until they meet."""
+    random.seed(8)
+    people = [(i, random.choice(["a", "b", "c"])) for i in range(40)]
+    load = {i: random.choice([0, 1, 2, 9, 12]) for i in range(0, 40, 2)}
+    shifts = [(s, {"a": random.randrange(4), "b": 2, "c": 9}) for s in range(3)]
+    staff = spark.createDataFrame([(i, p, True) for i, p in people], "id long, position string, is_active boolean")
+    table = spark.createDataFrame([(s, f"s{s}", str(n)) for s, n in shifts], "id int, shift_name string, required_positions string")
+    loads = spark.createDataFrame(list(load.items()), "personnel_id long, shift_count long")
+    roster, gaps = port.assign_horizon(staff, table, loads, "2024-01-01", 9)
+    rows = roster.collect()
+    for day in range(9):
+        expected = greedy(people, shifts, load)
+        assert sorted((r["shift_id"], r["personnel_id"]) for r in rows if r["schedule_date"] == date(2024, 1, 1 + day)) == expected
+        for _, person in expected:
+            load[person] = load.get(person, 0) + 1
+    assert {r["position"] for r in gaps.collect()} == {"c"} and gaps.count() % 9 == 0
+
+
 def test_energy_points_and_correlation(spark):
     rows = [(1, float(i), 2.0 * i + 1) for i in range(5)] + [(2, 1.0, 1.0), (2, 2.0, 5.0)] + [(3, 4.0, 1.0), (3, 4.0, 2.0), (3, 4.0, 9.0)]
     out = {r["store_id"]: tuple(r)[1:] for r in energy.point_correlation(spark.createDataFrame(rows, "store_id int, x double, y double")).collect()}
