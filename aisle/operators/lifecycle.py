@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aisle.functions.listing import latest_snapshot, page, top_k
 from aisle.functions.scalars import clamp, money_sum, round_to
 from aisle.functions.scope import scope_stores, where_optional
+from aisle.sources.sinks import upsert
 
 FACT_DAYS = 84
 VELOCITY_DAYS = 28
@@ -121,6 +122,23 @@ def lifecycle_stage(
     )
 
 
+SNAPSHOT_KEYS = ["product_id", "snapshot_week", "store_id"]
+#: What a second run in a week refreshes; the other figures stay as the week's first run found them.
+REFRESHED = ["stage", "weekly_revenue", "growth_rate", "velocity"]
+
+
+def snapshot_lifecycle(path: str, staged: DataFrame, store_id: int | None = None) -> None:
+    """Put the stages of a run into the stored weeks, one row per product, week and store (null: all stores together).
+
+    Only the week's folder is rewritten.
+    """
+    rows = staged.select(
+        "product_id", F.lit(store_id).cast("long").alias("store_id"), "snapshot_week", "stage", "weekly_revenue", "weekly_quantity",
+        "growth_rate", "adoption_rate", "market_share", "margin_rate", "velocity",
+    )
+    upsert(path, rows, SNAPSHOT_KEYS, REFRESHED, ["snapshot_week"])
+
+
 def retirement_advice(staged: DataFrame, as_of: str) -> DataFrame:
     """Phase out, mark down or keep for products in steady decline."""
     falling = F.size(F.filter(F.slice("growth_rates", -4, 4), lambda g: g < -0.05))

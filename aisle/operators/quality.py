@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from aisle.functions.listing import page
 from aisle.functions.scalars import round_to
 from aisle.functions.scope import scope_stores, where_optional
+from aisle.session import cut_lineage
+from aisle.sources import hadoop
+from aisle.sources.sinks import append_facts, upsert
 
 FRESH_DAYS = 2
 # Dimension weights of the overall score.
@@ -222,6 +225,30 @@ def run_summary(scores: DataFrame, raised: DataFrame) -> DataFrame:
     return facts.join(F.broadcast(raised.agg(F.count(F.lit(1)).alias("alerts_generated"))))
 
 
+ALERTS = "target_table string, dimension string, severity string, metric_value double, threshold_value double, status string, created_at timestamp"
+SCORE_KEYS = ["target_table", "dimension", "score_date"]
+
+
+def run_checks(targets: list[Target], root: str, now: str, store_ids=None) -> DataFrame:
+    """One check run over all tables: scores of the day upserted, new alerts appended, a run row appended; returns the run row.
+
+    Tables ``scores``, ``alerts`` and ``runs`` lie under ``root``. A second run of a day refreshes score, total and failed
+    records and leaves the rest of a score row; it raises no alert again that is open for less than a day.
+    """
+    spark = targets[0].df.sparkSession
+    place = {name: f"{root.rstrip('/')}/{name}" for name in ("scores", "alerts", "runs")}
+    scores = cut_lineage(quality_scores(targets, now[:10], store_ids), "scores")
+    known = spark.read.schema(ALERTS).parquet(place["alerts"]) if hadoop.exists(spark, place["alerts"]) else spark.createDataFrame([], ALERTS)
+    raised = cut_lineage(new_alerts(scores, known, now), "alerts")
+    passed = scores.withColumn("passed_records", F.col("total_records") - F.col("failed_records"))
+    upsert(place["scores"], passed, SCORE_KEYS, ["score", "total_records", "failed_records"], ["score_date"])
+    append_facts(raised, place["alerts"])
+    moment = F.lit(now).cast("timestamp_ntz")
+    run = cut_lineage(run_summary(scores, raised).select(moment.alias("started_at"), F.lit("completed").alias("status"), "*"), "run")
+    append_facts(run, place["runs"])
+    return run
+
+
 def score_trend(scores: DataFrame, as_of: str, days: int = 30, target_table=None, store_ids=None) -> DataFrame:
     rows = where_optional(scope_stores(scores, store_ids), target_table=target_table).where(
         F.col("score_date") >= F.date_sub(F.lit(as_of).cast("date"), days)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aisle.functions.listing import latest_per_key, page, top_k
 from aisle.functions.scalars import money_sum, round_to
 from aisle.functions.scope import scope_stores
-from aisle.functions.stats import with_z_value
+from aisle.functions.stats import normal_quantile
 
 KEYS = ["store_id", "item_id"]
 # Settings of an item without its own row, and cost assumptions.
@@ -108,7 +108,7 @@ def reorder_points(
         rows = rows.withColumn("promoted", F.lit(False)).withColumn("wet", F.lit(False))
     for name, value in {**DEFAULTS, **NO_SUPPLIER}.items():
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
-    rows = with_z_value(rows, "service_level")
+    rows = rows.withColumn("z", normal_quantile(F.col("service_level")))
     boost = F.when(F.col("promoted"), F.col("promo_boost_factor")).otherwise(1.0)
     damping = F.when(F.col("wet"), 1.0 - F.col("weather_sensitivity")).otherwise(1.0)
     horizon = F.sqrt((F.col("lead_time_days") + F.col("review_period_days")).cast("double"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisle.functions.listing import latest_per_key, top_k
+from aisle.functions import ordered
+from aisle.functions.listing import latest_per_key, page, top_k
 from aisle.functions.scalars import money_sum, round_to, safe_div
 from aisle.functions.scope import scope_stores
 
 ORDER_KEYS = ("order_no", "supplier_id")
+ITEMS_PER_BUCKET = 1000
 
 
 def supplier_scorecard(
@@ -196,3 +198,20 @@ def orders_with_items(orders: DataFrame, order_items: DataFrame, keys: tuple[str
         F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(line)).alias("items")
     )
     return orders.join(nested, list(keys), "left").fillna(0, ["lines"])
+
+
+def order_lines(orders: DataFrame, order_items: DataFrame, keys: tuple[str, ...] = ORDER_KEYS) -> DataFrame:
+    """Orders and their lines as flat rows with a number; an order without lines is one row without a number.
+
+    Lines are numbered by item through buckets of items, so a very long order is spread.
+    """
+    numbered = ordered.position(
+        order_items.withColumn("_bucket", F.floor(F.col("item_id") / ITEMS_PER_BUCKET)), list(keys), "_bucket",
+        [F.col(c) for c in ("item_id", *[c for c in order_items.columns if c not in (*keys, "item_id")])], "line_no",
+    ).drop("_bucket")
+    return orders.join(numbered, list(keys), "left")
+
+
+def list_adjustments(adjustments: DataFrame, store_ids=None, page_no: int = 1, size: int = 20) -> DataFrame:
+    """Stored stock adjustments of the caller's stores, newest first."""
+    return page(scope_stores(adjustments, store_ids), [F.desc("created_at"), F.asc("id")], page_no, size)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from aisle.operators import basket
 from aisle.plans.registry import query
+from aisle.session import checkpoint_root, cut_lineage
 
 BASE = 0.002
 CONFIDENCE = 0.05
@@ -172,3 +175,20 @@ def query_rules(t):
     return rows.withColumn("antecedent", F.array_join("antecedent", ",")).withColumn(
         "consequent", F.array_join("consequent", ",")
     )
+
+
+@query(
+    "run_basket_analysis",
+    f"""
+WITH {RULES}, r AS (SELECT store_id, count(*) AS n FROM rules GROUP BY store_id), s AS (SELECT store_id, count(*) AS n FROM sets GROUP BY store_id)
+SELECT nb.store_id, nb.n AS n_baskets, coalesce(s.n, 0) AS frequent_itemsets_count, coalesce(r.n, 0) AS rules_found, coalesce(r.n, 0) AS rules_stored
+FROM nb LEFT JOIN s ON s.store_id = nb.store_id LEFT JOIN r ON r.store_id = nb.store_id""",
+)
+def run_basket_analysis(t):
+    """The analysis of a period, twice: the second run takes the place of the first."""
+    path = f"{checkpoint_root(t.spark)}/rules-{uuid.uuid4().hex}"
+    lines = cut_lineage(_lines(t))
+    for confidence in (CONFIDENCE * 2, CONFIDENCE):
+        counts = basket.run_basket_analysis(lines, path, "1990-01-01", "2010-12-31", min_support=BASE, min_confidence=confidence)
+    stored = t.spark.read.parquet(path).groupBy(F.col("store_id").cast("long").alias("store_id")).agg(F.count(F.lit(1)).alias("rules_stored"))
+    return counts.join(stored, "store_id", "left").fillna(0, ["rules_stored"])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from aisle.operators import demand, forecast, quality
 from aisle.plans.registry import query
+from aisle.session import checkpoint_root
 
 AS_OF = "2001-11-04"
 START = "2000-11-04"
@@ -405,3 +408,33 @@ def score_trend(t):
         (F.col("n_chars") % 101).cast("double").alias("score"),
     )
     return quality.score_trend(scores, "2024-01-28", days=20)
+
+
+@query(
+    "run_checks",
+    f"""
+WITH {_scores_sql()}, f AS (SELECT count(*) AS rules_checked, round(avg(score) * 100) / 100 AS overall_score, count(*) FILTER (CAST(failed_records AS DOUBLE) / greatest(total_records, 1) > 0.15) AS n FROM qs)
+SELECT TIMESTAMP '2001-11-10 12:00:00' AS started_at, 'completed' AS status, rules_checked, overall_score, n AS alerts_generated, (SELECT count(*) FROM qs) AS stored_scores FROM f
+UNION ALL SELECT TIMESTAMP '2001-11-10 18:00:00', 'completed', rules_checked, overall_score, 0, (SELECT count(*) FROM qs) FROM f""",
+)
+def run_checks(t):
+    """Two runs on one day: the second stores its scores over the first's and finds its alerts open."""
+    root = f"{checkpoint_root(t.spark)}/checks-{uuid.uuid4().hex}"
+    for hour in (12, 18):
+        quality.run_checks(_targets(t), root, f"{CHECK_DAY} {hour}:00:00")
+    stored = t.spark.read.parquet(f"{root}/scores").agg(F.count(F.lit(1)).alias("stored_scores"))
+    return t.spark.read.parquet(f"{root}/runs").join(F.broadcast(stored))
+
+
+@query(
+    "weather_forecast_by_position",
+    f"""
+WITH {PLAIN}, {FACTORS.replace("wf AS (SELECT st.id AS store_id, weather_date AS date,", "wf AS (SELECT st.id AS store_id, row_number() OVER (PARTITION BY st.id ORDER BY weather_date) AS step,")},
+d3 AS (SELECT d2.* EXCLUDE (v), v * coalesce(pf, 1) * coalesce(wf, 1) AS v FROM d2 LEFT JOIN pf ON pf.store_id = d2.store_id AND pf.date = d2.date LEFT JOIN wf ON wf.store_id = d2.store_id AND wf.step = d2.step)
+{_final('d3')}""",
+)
+def weather_forecast_by_position(t):
+    """The n-th weather row after today on the n-th forecast day, whatever their dates."""
+    return forecast.sales_forecast(
+        _lines(t), AS_OF, PERIODS, promotions=t("promotions"), weather=t("weather"), stores=t.stores, positional_weather=True
+    )

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from aisle.operators import lifecycle
 from aisle.plans.registry import query
+from aisle.session import checkpoint_root
 
 AS_OF = "2001-11-04"
 
 
-def _style_sales(t):
-    lines = t.sales("store_id", "sale_date", "brand", "category", "quantity", "total_amount", start="2001-08-12")
+def _style_sales(t, start="2001-08-12"):
+    lines = t.sales("store_id", "sale_date", "brand", "category", "quantity", "total_amount", start=start)
     return lines.withColumn("item_id", F.concat("brand", F.lit(" "), "category"))
 
 
@@ -120,3 +123,26 @@ FROM product_snapshots WHERE snapshot_week = (SELECT max(snapshot_week) FROM pro
 )
 def stage_kpis(t):
     return lifecycle.stage_kpis(t("product_snapshots"))
+
+
+#: A day of the same week as ``AS_OF``.
+EARLIER = "2001-10-30"
+_SNAPSHOT = f"WITH {WEEKLY}, {STAGED} SELECT * FROM staged"
+
+
+@query(
+    "snapshot_lifecycle",
+    f"""
+WITH one AS ({_SNAPSHOT.replace(AS_OF, EARLIER)}), two AS ({_SNAPSHOT})
+SELECT coalesce(two.product_id, one.product_id) AS product_id, CAST(NULL AS BIGINT) AS store_id, coalesce(two.snapshot_week, one.snapshot_week) AS snapshot_week,
+       coalesce(two.stage, one.stage) AS stage, coalesce(two.weekly_revenue, one.weekly_revenue) AS weekly_revenue, coalesce(one.weekly_quantity, two.weekly_quantity) AS weekly_quantity,
+       coalesce(two.growth_rate, one.growth_rate) AS growth_rate, coalesce(one.adoption_rate, two.adoption_rate) AS adoption_rate, CAST(0 AS DOUBLE) AS market_share,
+       coalesce(one.margin_rate, two.margin_rate) AS margin_rate, coalesce(two.velocity, one.velocity) AS velocity
+FROM one FULL JOIN two ON two.product_id = one.product_id""",
+)
+def snapshot_lifecycle(t):
+    """Two runs in one week: the second refreshes the stage and what it is judged by."""
+    path = f"{checkpoint_root(t.spark)}/snapshots-{uuid.uuid4().hex}"
+    for day, start in ((EARLIER, "2001-08-07"), (AS_OF, "2001-08-12")):
+        lifecycle.snapshot_lifecycle(path, lifecycle.lifecycle_stage(_style_sales(t, start), t("style_products"), t.stores, day))
+    return t.spark.read.parquet(path)

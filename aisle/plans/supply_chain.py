@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aisle.functions import scalars
 from aisle.operators import replenishment, supply
 from aisle.plans.registry import query
 
@@ -268,3 +269,46 @@ SELECT count(*) AS total_items, count(*) FILTER (quantity > min_stock) AS covere
 )
 def coverage(t):
     return replenishment.coverage(t("inventory"))
+
+
+@query(
+    "order_lines",
+    """
+SELECT o.*, i.item_id, i.quantity, i.unit_cost, i.received_quantity, i.quality_score,
+       CASE WHEN i.item_id IS NOT NULL THEN row_number() OVER (PARTITION BY o.order_no, o.supplier_id ORDER BY i.item_id, i.quantity, i.unit_cost, i.received_quantity, i.quality_score) END AS line_no
+FROM purchase_orders o LEFT JOIN purchase_order_items i ON i.order_no = o.order_no AND i.supplier_id = o.supplier_id""",
+)
+def order_lines(t):
+    rows = supply.order_lines(t("purchase_orders"), t("purchase_order_items"))
+    return rows.withColumn("quality_score", F.col("quality_score").cast("double"))
+
+
+_ADJUSTED = """
+SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS store_id, l_partkey AS item_id, CASE l_returnflag WHEN 'R' THEN -l_quantity ELSE l_quantity END AS quantity,
+       CASE l_returnflag WHEN 'R' THEN 'loss' ELSE 'count' END AS adjustment_type, l_shipdate AS created_at FROM {lineitem}"""
+
+
+@query("list_adjustments", f"SELECT * FROM ({_ADJUSTED.replace('{lineitem}', 'lineitem')}) WHERE store_id IN (1, 2, 3, 5) ORDER BY created_at DESC, id LIMIT 20 OFFSET 20")
+def list_adjustments(t):
+    """Second page of the adjustments of four stores."""
+    return supply.list_adjustments(t.spark.sql(_ADJUSTED, lineitem=t("lineitem")), [1, 2, 3, 5], page_no=2)
+
+
+@query(
+    "field_predicates",
+    r"""
+WITH c AS (SELECT c_custkey, '1' || lpad(CAST(c_custkey * 7654321987 % 10000000000 AS VARCHAR), 10, '0') AS phone, c_acctbal, '  ' || repeat(c_name || ' ', 20) AS note FROM customer),
+p AS (SELECT *, regexp_matches(phone, '^1[3-9]\d{9}$') AS phone_ok, c_acctbal >= 0 AS balance_ok, substr(trim(note), 1, 200) AS note_kept FROM c),
+o AS (SELECT o_custkey, count(*) FILTER (NOT (CAST(o_orderdate AS DATE) <= DATE '2000-01-01')) AS late FROM orders GROUP BY o_custkey)
+SELECT c_custkey, phone_ok, balance_ok, note_kept, coalesce(late, 0) AS late FROM p LEFT JOIN o ON o_custkey = c_custkey""",
+)
+def field_predicates(t):
+    """Each predicate over a whole table: phone, sign, range of dates, trimmed and cut text."""
+    phone = F.concat(F.lit("1"), F.lpad((F.col("c_custkey") * 7654321987 % 10000000000).cast("string"), 10, "0"))
+    note = F.concat(F.lit("  "), F.repeat(F.concat("c_name", F.lit(" ")), 20))
+    rows = t("customer").select(
+        "c_custkey", scalars.valid_phone(phone).alias("phone_ok"), scalars.non_negative("c_acctbal").alias("balance_ok"), scalars.tidy_text(note).alias("note_kept")
+    )
+    in_time = scalars.valid_date_range(F.col("o_orderdate").cast("date"), F.lit("2000-01-01").cast("date"))
+    late = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(~in_time).alias("late"))
+    return rows.join(late, "c_custkey", "left").fillna(0, ["late"])
