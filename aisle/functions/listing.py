@@ -4,19 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from aisle.session import cut_lineage
 
-RANK_BUCKETS = 64
+#: Rows that a page may take through one sorted head; deeper pages seek to their range.
+SHALLOW = 10_000
+#: Place of a row in a table that ``in_order`` wrote: the range in the high bits, the place inside it in the low ones.
+PLACE = "_place"
+LOW_BITS = 33
 
 
 def top_k(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def in_order(df: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """The rows in order, written as one sorted file for each range of the order, with their ``_place``.
+
+    Ranges are cut by all order columns and at last by a hash of the row, so however many rows share a value, they
+    spread over as many tasks as their number asks for. By default there are as many ranges as shuffle partitions.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    keys = [*order, F.xxhash64(*plain)]
+    ranged = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    return cut_lineage(ranged.withColumn(PLACE, F.monotonically_increasing_id()), "ordered")
+
+
+def _range() -> Column:
+    return F.shiftright(PLACE, LOW_BITS)
+
+
+def _range_sizes(rows: DataFrame) -> DataFrame:
+    """Rows before each range; one row a range."""
+    sizes = rows.groupBy(_range().alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn("_before", F.coalesce(before, F.lit(0)))
+
+
 def page(df: DataFrame, order: list[Column], page_no: int, size: int) -> DataFrame:
-    """One page of rows; ``page_counts`` gives the totals."""
-    return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
+    """One page of rows; ``page_counts`` gives the totals. For many deep pages of one list see ``ordered_page``."""
+    if page_no * size <= SHALLOW:
+        return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
+    return ordered_page(in_order(df, order), page_no, size)
+
+
+def ordered_page(rows: DataFrame, page_no: int, size: int) -> DataFrame:
+    """One page of a table that ``in_order`` wrote: its places are known from the sizes of the ranges, and only files that hold them are read."""
+    first, last = (page_no - 1) * size, page_no * size - 1
+    spots = {}
+    for r in _range_sizes(rows).toLocalIterator():
+        for name, at in (("first", first), ("last", last)):
+            if r["_before"] <= at < r["_before"] + r["_rows"]:
+                spots[name] = (r["_range"] << LOW_BITS) + at - r["_before"]
+    if "first" not in spots:
+        return rows.where(F.lit(False)).drop(PLACE)
+    wanted = rows.where(F.col(PLACE) >= spots["first"])
+    if "last" in spots:
+        wanted = wanted.where(F.col(PLACE) <= spots["last"])
+    return wanted.orderBy(PLACE).drop(PLACE)
 
 
 def page_counts(df: DataFrame, size: int) -> DataFrame:
@@ -49,43 +96,24 @@ def prioritised(col: str, order: list[str]) -> Column:
     return key.otherwise(len(order))
 
 
-def global_rank(
-    df: DataFrame, value: str, ties: list[str], out: str = "rank", buckets: int = RANK_BUCKETS
-) -> DataFrame:
-    """Position 1..n by ``value`` descending, ties by the given keys ascending.
+def place_of(rows: DataFrame, out: str) -> DataFrame:
+    """Position 1..n of each row of a table that ``in_order`` wrote."""
+    inside = F.col(PLACE).bitwiseAND((1 << LOW_BITS) - 1)
+    # One row a range.
+    before = F.broadcast(_range_sizes(rows).select("_range", "_before"))
+    counted = rows.withColumn("_range", _range()).join(before, "_range")
+    return counted.withColumn(out, (F.col("_before") + inside + 1).cast("long")).drop("_range", "_before", PLACE)
+
 
-    A plain ``row_number()`` without partition keys sorts everything in one task.
-    Here approximate splitters cut the value axis into a fixed number of ranges,
-    each range is numbered on its own and shifted by the sizes of the ranges above.
+def global_rank(df: DataFrame, value: str, ties: list[str], out: str = "rank", buckets: int | None = None) -> DataFrame:
+    """Position 1..n by ``value`` descending, nulls last, ties by the given keys ascending.
+
+    A plain ``row_number()`` without partition keys sorts everything in one task. Here ranges of
+    (value, ties) are sorted side by side and shifted by the sizes of the ranges before.
     """
-    # Read three times below: the facts behind the ranked rows should be scanned once.
-    df = cut_lineage(df, "rank")
-    fractions = [i / buckets for i in range(1, buckets)]
-    # Ranges are positions in this fixed-length array, so the count table has at most ``buckets`` rows.
-    cuts = df.agg(F.percentile_approx(value, fractions, 10 * buckets).alias("_cuts"))
-    ranged = df.join(F.broadcast(cuts)).withColumn(
-        "_range",
-        F.when(F.col(value).isNull(), buckets).otherwise(F.size(F.filter("_cuts", lambda c: c > F.col(value)))),
-    )
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    above = sizes.select(
-        "_range",
-        F.coalesce(
-            F.sum("_n").over(
-                Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_above"),
-    )
-    within = Window.partitionBy("_range").orderBy(
-        F.col(value).desc_nulls_last(), *[F.col(t).asc() for t in ties]
-    )
-    return (
-        ranged.withColumn("_pos", F.row_number().over(within))
-        .join(F.broadcast(above), "_range")
-        .withColumn(out, (F.col("_above") + F.col("_pos")).cast("long"))
-        .drop("_cuts", "_range", "_pos", "_above")
-    )
+    # The cuts come from a sample, which reads the rows once more: the facts behind them should be scanned once.
+    order = [F.col(value).desc_nulls_last(), *[F.col(t).asc() for t in ties]]
+    return place_of(in_order(cut_lineage(df, "rank"), order, buckets), out)
 
 
 def date_spine(df: DataFrame, date_col: str, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisle.functions import ordered
+from aisle.functions import bitmaps, ordered
 from aisle.functions.listing import latest_snapshot
 from aisle.functions.scalars import money_sum, round_to, safe_div, time_bucket
 from aisle.functions.scope import between_dates, scope_stores
@@ -236,6 +236,25 @@ def channel_overlap(channel_sales: DataFrame, start: str, end: str, store_ids=No
     )
 
 
+def reach_bitmaps(channel_sales: DataFrame, members: DataFrame | None = None, receipts: DataFrame | None = None) -> DataFrame:
+    """Daily bitmaps of members and receipts per channel, to be kept; ids that are no whole numbers need their dictionaries."""
+    return bitmaps.daily_bitmaps(channel_sales, "sale_date", ["channel"], {"member_id": members, "receipt_no": receipts})
+
+
+def channel_reach(reach: DataFrame, start: str, end: str) -> DataFrame:
+    """Different members and receipts per channel over any period, and over all channels (null), from daily bitmaps."""
+    each = bitmaps.distinct_counts(reach, ["channel"], start, end)
+    together = bitmaps.distinct_counts(reach, [], start, end).withColumn("channel", F.lit(None).cast("string"))
+    n = lambda what: F.coalesce(F.max(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
+    return each.unionByName(together).groupBy("channel").agg(n("member_id").alias("members"), n("receipt_no").alias("receipts"))
+
+
+def channel_pairs(reach: DataFrame, start: str, end: str) -> DataFrame:
+    """Members that buy on each pair of channels, and on all three, in a period."""
+    groups = {"online_offline": ["online", "offline"], "online_o2o": ["online", "o2o"], "offline_o2o": ["offline", "o2o"], "all_three": ["online", "offline", "o2o"]}
+    return bitmaps.overlap_counts(reach, "channel", groups, "member_id", start, end)
+
+
 def channel_inventory(inventory: DataFrame, item_names: DataFrame, snapshot: str | None = None) -> DataFrame:
     """Stock by channel per store and item, at a date or at each store's newest one.
 

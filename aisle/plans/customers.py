@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aisle.operators import marketing, omnichannel
 from aisle.plans.registry import query
+from aisle.session import cut_lineage
 
 START, END = "1999-01-01", "1999-12-31"
 AS_OF = "2001-08-01"
@@ -347,3 +348,30 @@ SELECT (SELECT count(*) FROM campaigns WHERE status = 'active') AS active_campai
 )
 def marketing_dashboard(t):
     return marketing.marketing_dashboard(t("campaigns"), t("campaign_executions"), campaign_daily(t), AS_OF)
+
+
+def _reach(t):
+    """Daily bitmaps of all sales, written once as a store of them would be."""
+    return cut_lineage(omnichannel.reach_bitmaps(t.sales("channel", "sale_date", "member_id", "receipt_no")), "reach")
+
+
+@query(
+    "channel_reach",
+    """
+WITH p AS (SELECT * FROM sales WHERE sale_date BETWEEN DATE '1999-02-10' AND DATE '2000-05-20')
+SELECT channel, count(DISTINCT member_id) AS members, count(DISTINCT receipt_no) AS receipts FROM p GROUP BY channel
+UNION ALL SELECT NULL, count(DISTINCT member_id), count(DISTINCT receipt_no) FROM p""",
+)
+def channel_reach(t):
+    return omnichannel.channel_reach(_reach(t), "1999-02-10", "2000-05-20")
+
+
+@query(
+    "channel_pairs",
+    """
+WITH m AS (SELECT member_id, bool_or(channel = 'online') AS a, bool_or(channel = 'offline') AS b, bool_or(channel = 'o2o') AS c
+           FROM sales WHERE sale_date BETWEEN DATE '1999-03-01' AND DATE '1999-03-31' GROUP BY member_id)
+SELECT count(*) FILTER (a AND b) AS online_offline, count(*) FILTER (a AND c) AS online_o2o, count(*) FILTER (b AND c) AS offline_o2o, count(*) FILTER (a AND b AND c) AS all_three FROM m""",
+)
+def channel_pairs(t):
+    return omnichannel.channel_pairs(_reach(t), "1999-03-01", "1999-03-31")

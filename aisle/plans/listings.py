@@ -80,6 +80,16 @@ def sales_page(t):
     return listing.page(rows, order, 3, 50)
 
 
+@query(
+    "sales_page_deep",
+    "SELECT receipt_no, item_id, store_id, sale_date, quantity FROM sales ORDER BY sale_date DESC, receipt_no, item_id, quantity, store_id LIMIT 50 OFFSET 25000",
+)
+def sales_page_deep(t):
+    """The 501st page of all sale lines."""
+    rows = t.sales("receipt_no", "item_id", "store_id", "sale_date", "quantity")
+    return listing.page(rows, [F.desc("sale_date"), *[F.asc(c) for c in ("receipt_no", "item_id", "quantity", "store_id")]], 501, 50)
+
+
 @query("page_counts", "SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS total_pages FROM sales")
 def page_counts(t):
     return listing.page_counts(t.sales("receipt_no"), 50)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aisle.functions import listing, ordered, scalars, scope, stats
+from aisle.functions import bitmaps, listing, ordered, scalars, scope, stats
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +143,53 @@ def test_listing(spark):
     assert listing.page_counts(df, 2).first().asDict() == {"total": 3, "total_pages": 2}
     assert listing.hour_spine(spark).count() == 24
     assert listing.with_dow_hours(df).count() == 3 * 168
+
+
+def test_ranks_and_deep_pages_of_tied_values(spark):
+    """Nine tenths share one value: ranges stay even, ranks and pages are those of the sorted list."""
+    rows = [(i * 7919 % 20_011, 5.0 if i % 10 else float(i % 97)) for i in range(20_000)]
+    rows[3] = (rows[3][0], None)
+    df = spark.createDataFrame(rows, "id long, v double").repartition(7)
+    wanted = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    ranked = listing.global_rank(df, "v", ["id"]).collect()
+    assert [(r.id, r.v) for r in sorted(ranked, key=lambda r: r.rank)] == wanted and {r.rank for r in ranked} == set(range(1, 20_001))
+    order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    stored = listing.in_order(df, order)
+    sizes = [r["_rows"] for r in listing._range_sizes(stored).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for page_no, size in ((1, 50), (399, 50), (400, 50), (401, 50), (3, 6000), (4, 6000)):
+        want = wanted[(page_no - 1) * size : page_no * size]
+        assert [tuple(r) for r in listing.ordered_page(stored, page_no, size).collect()] == want
+        assert [tuple(r) for r in listing.page(df, order, page_no, size).collect()] == want
+    files = lambda d: len(d.select(F.col("_metadata.file_path")).distinct().collect())
+    assert files(stored) == len(sizes)
+    plan = listing.ordered_page(stored, 200, 50)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(_place), GreaterThanOrEqual(_place" in plan
+
+
+def test_pages_of_nothing_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, 1.0)] * 30, "id long, v double")
+    stored = listing.in_order(df, [F.col("v")])
+    assert [listing.ordered_page(stored, n, 20).count() for n in (1, 2, 3)] == [20, 10, 0]
+    assert listing.ordered_page(listing.in_order(df.limit(0), [F.col("v")]), 1, 20).count() == 0
+    assert listing.global_rank(df.limit(0), "v", ["id"]).count() == 0
+
+
+def test_distinct_ids_of_any_period(spark):
+    random.seed(6)
+    rows = [(date(2024, 1, 1 + random.randrange(9)), random.choice("ab"), random.choice([None, *range(-40, 70_000, 977)]), f"m{random.randrange(50)}") for _ in range(600)]
+    lines = spark.createDataFrame(rows, "d date, c string, n long, name string")
+    first = bitmaps.grow_dictionary(lines.where("name < 'm3'"), "name")
+    codes = bitmaps.grow_dictionary(lines, "name", first)
+    numbers = {r["name"]: r["code"] for r in codes.collect()}
+    assert sorted(numbers.values()) == list(range(1, len(numbers) + 1)) and set(numbers) == {r[3] for r in rows}
+    assert {r["name"]: r["code"] for r in first.collect()}.items() <= numbers.items()
+    daily = bitmaps.daily_bitmaps(lines, "d", ["c"], {"n": None, "name": codes})
+    for lo, hi in ((1, 9), (3, 5), (8, 8), (20, 21)):
+        span = (f"2024-01-{lo:02d}", f"2024-01-{hi:02d}")
+        some = [r for r in rows if lo <= r[0].day <= hi]
+        found = {(r["c"], r["what"]): r["n"] for r in bitmaps.distinct_counts(daily, ["c"], *span).collect()}
+        wanted = {(c, w): len({r[k] for r in some if r[1] == c} - {None}) for c in "ab" for w, k in (("n", 2), ("name", 3))}
+        assert found == {k: v for k, v in wanted.items() if v}
+        both = bitmaps.overlap_counts(daily, "c", {"both": ["a", "b"]}, "name", *span).first()["both"]
+        assert both == len({r[3] for r in some if r[1] == "a"} & {r[3] for r in some if r[1] == "b"})
