@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aisle.functions.listing import latest_per_key
 from aisle.functions.scalars import clamp, great_circle_km, money_sum, round_to
+from aisle.session import cut_lineage
 
 RECENT_DAYS = 30
 # Weights of the five scores.
@@ -15,6 +18,10 @@ WEIGHTS = {"traffic": 0.25, "competition": 0.20, "demographic": 0.20, "transport
 RINGS = [(0.5, 15), (1.0, 8), (2.0, 3)]
 DEFAULT_REVENUE = 200000.0
 CELL_DEGREES = 0.02
+KM_PER_DEGREE = 111.195
+#: Addresses of a cell that are compared one by one; cells with more are split, at most so many times (to 9 metres).
+LEAF_ADDRESSES = 64
+DEPTH = 8
 
 
 def _tier(value: Column, steps: list[tuple[float, float]], otherwise: float) -> Column:
@@ -70,36 +77,104 @@ def _cell_column(lng: Column, row: Column) -> Column:
     return F.floor(lng * F.cos(F.radians(row * CELL_DEGREES)) / CELL_DEGREES)
 
 
+def _penalty(km: Column) -> Column:
+    penalty = F.when(km <= RINGS[0][0], RINGS[0][1])
+    for ring, points_off in RINGS[1:]:
+        penalty = penalty.when(km <= ring, points_off)
+    return penalty.otherwise(0)
+
+
+def _quarter(depth: Column | int) -> list[Column]:
+    """Column and row, inside its cell, of an address after the cell was halved ``depth`` times."""
+    parts = F.pow(F.lit(2.0), F.lit(depth) if isinstance(depth, int) else depth)
+    inside = lambda c: F.least(F.floor(F.col(c) * parts), parts - 1).cast("long")
+    return [inside("_u").alias("_x"), inside("_v").alias("_y")]
+
+
+CELL = ["city", "_row", "_col", "_depth", "_x", "_y"]
+
+
+def _tree(addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells with their rivals and whether they are split, and addresses with the cell at which splitting ends.
+
+    A cell with more addresses than are compared one by one is split into four, and so on.
+    """
+    crowded = addresses.groupBy("city", "_row", "_col").agg((F.count(F.lit(1)) > LEAF_ADDRESSES).alias("_crowded"))
+    depths = F.explode(F.sequence(F.lit(0), F.when(F.col("_crowded"), DEPTH).otherwise(0))).alias("_depth")
+    deep = addresses.join(crowded, ["city", "_row", "_col"]).select(*addresses.columns, depths).withColumns(
+        dict(zip(("_x", "_y"), _quarter(F.col("_depth")), strict=True))
+    )
+    cells = deep.groupBy(*CELL).agg(F.sum("_rivals").alias("_all"), F.count(F.lit(1)).alias("_addresses"))
+    cells = cut_lineage(cells.withColumn("_split", (F.col("_addresses") > LEAF_ADDRESSES) & (F.col("_depth") < DEPTH)), "cells")
+    whole = cells.where(~F.col("_split")).select(*CELL)
+    ends = deep.join(whole, CELL, "left_semi").groupBy("city", "_lat", "_lng").agg(
+        F.min_by(F.struct("_row", "_col", "_depth", "_x", "_y", "_rivals"), "_depth").alias("_end")
+    )
+    return cells, ends.select("city", "_lat", "_lng", "_end.*")
+
+
+def _reach(lat: Column, lng: Column) -> tuple[Column, Column]:
+    """Least and greatest distance of a point to a cell in kilometres, a little too far out on both sides."""
+    size = F.lit(CELL_DEGREES) / F.pow(F.lit(2.0), F.col("_depth"))
+    stretch = F.cos(F.radians(F.col("_row") * CELL_DEGREES))
+    south = F.col("_row") * CELL_DEGREES + F.col("_y") * size
+    west = (F.col("_col") * CELL_DEGREES + F.col("_x") * size) / stretch
+    north, east = south + size, west + size / stretch
+    off = lambda p, a, b: F.greatest(a - p, p - b, F.lit(0.0))
+    far = lambda p, a, b: F.greatest(F.abs(a - p), F.abs(b - p))
+    shrink = [F.cos(F.radians(f(F.abs(lat), F.abs(south), F.abs(north)))) for f in (F.greatest, F.least)]
+    km = lambda up, along: F.sqrt(up * up + along * along) * KM_PER_DEGREE
+    return (
+        km(off(lat, south, north), off(lng, west, east) * shrink[0]) * 0.999 - 0.001,
+        km(far(lat, south, north), far(lng, west, east) * shrink[1]) * 1.001 + 0.001,
+    )
+
+
 def nearby_counts(candidates: DataFrame, competitors: DataFrame) -> DataFrame:
-    """Rivals of the same city per ring around every distinct candidate point.
+    """Penalty for rivals of the same city per ring around every distinct candidate point.
 
-    Points are put into cells a little wider than the outer ring and only the nine
-    cells around a candidate are compared. Rivals at one address are counted before the join.
+    Addresses lie in cells a little wider than the outer ring, nine of which surround a
+    candidate. Dense cells are split. A cell that lies in one ring as a whole counts at once; only
+    addresses of undivided cells that a ring cuts are compared, so a dense city costs its rings' edges and not its area.
     """
     spot = ["city", "latitude", "longitude"]
     has_point = lambda: (F.coalesce("latitude", F.lit(0.0)) != 0) & (F.coalesce("longitude", F.lit(0.0)) != 0)
     points = candidates.where(has_point()).select(*spot).distinct()
-    rivals = (
-        competitors.where(has_point())
-        .groupBy(*spot)
-        .agg(F.count(F.lit(1)).alias("_rivals"))
-        .select(
-            "city", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lng"), "_rivals",
-            _cell_row(F.col("latitude")).alias("_row"),
-        )
-        .withColumn("_col", _cell_column(F.col("_lng"), F.col("_row")))
-    )
-    around = (
-        points.withColumn("_row", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _cell_row(F.col("latitude")) + d)))
+    addresses = competitors.where(has_point()).groupBy(*spot).agg(F.count(F.lit(1)).alias("_rivals")).select(
+        "city", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lng"), "_rivals", _cell_row(F.col("latitude")).alias("_row")
+    )
+    addresses = addresses.withColumn("_col", _cell_column(F.col("_lng"), F.col("_row"))).withColumns(
+        {
+            "_u": F.col("_lng") * F.cos(F.radians(F.col("_row") * CELL_DEGREES)) / CELL_DEGREES - F.col("_col"),
+            "_v": F.col("_lat") / CELL_DEGREES - F.col("_row"),
+        }
+    )
+    cells, ends = _tree(addresses)
+    splits = cells.where("_split").agg(F.coalesce(F.max("_depth") + 1, F.lit(0)).alias("n")).first()["n"]
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    front = (
+        points.withColumn("_row", F.explode(F.transform(steps, lambda d: _cell_row(F.col("latitude")) + d)))
         .withColumn("_mid", _cell_column(F.col("longitude"), F.col("_row")))
-        .withColumn("_col", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("_mid") + d)))
+        .withColumn("_col", F.explode(F.transform(steps, lambda d: F.col("_mid") + d)))
+        .select(*spot, "_row", "_col", F.lit(0).alias("_depth"), F.lit(0).cast("long").alias("_x"), F.lit(0).cast("long").alias("_y"))
     )
+    penalties, compared = [], []
+    for depth in range(splits + 1):
+        nearest, farthest = _reach(F.col("latitude"), F.col("longitude"))
+        met = front.join(cells, CELL).withColumns({"_in": _penalty(nearest), "_out": _penalty(farthest)})
+        same = F.col("_in") == F.col("_out")
+        penalties.append(met.where(same & (F.col("_in") > 0)).select(*spot, (F.col("_in") * F.col("_all")).alias("_off")))
+        compared.append(met.where(~same & ~F.col("_split")).select(*spot, *CELL[1:]))
+        if depth < splits:
+            half = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (0, 1) for y in (0, 1)]))
+            front = cut_lineage(met.where(~same & F.col("_split")), "front").withColumn("_half", half).select(
+                *spot, "_row", "_col", (F.col("_depth") + 1).alias("_depth"),
+                (F.col("_x") * 2 + F.col("_half.x")).alias("_x"), (F.col("_y") * 2 + F.col("_half.y")).alias("_y"),
+            )
+    pairs = reduce(DataFrame.unionByName, compared).join(ends, CELL)
     km = great_circle_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lng"))
-    pairs = around.join(rivals, ["city", "_row", "_col"]).withColumn("_km", km)
-    penalty = F.when(F.col("_km") <= RINGS[0][0], RINGS[0][1])
-    for ring, points_off in RINGS[1:]:
-        penalty = penalty.when(F.col("_km") <= ring, points_off)
-    return pairs.groupBy(*spot).agg(F.sum(penalty.otherwise(0) * F.col("_rivals")).alias("penalty"))
+    every = pairs.select(*spot, (_penalty(km) * F.col("_rivals")).alias("_off"))
+    return reduce(DataFrame.unionByName, [every, *penalties]).groupBy(*spot).agg(F.sum("_off").alias("penalty"))
 
 
 def competition_score(candidates: DataFrame, competitors: DataFrame) -> DataFrame:

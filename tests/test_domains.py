@@ -1,5 +1,6 @@
 """Rules of single operators on small hand-made tables."""
 
+import math
 import random
 from datetime import date, timedelta
 
@@ -265,6 +266,25 @@ def test_rings_against_every_pair(spark):
         assert got[i] == max(10, 100 - off)
 
 
+@pytest.mark.parametrize(("leaf", "lat"), [(64, 39.9), (3, 39.9), (3, -33.9), (1, 0.001)])
+def test_dense_cells_split(spark, monkeypatch, leaf, lat):
+    """Most rivals crowd into a few blocks, some at one address; penalties are those of every pair."""
+    monkeypatch.setattr(sites, "LEAF_ADDRESSES", leaf)
+    random.seed(leaf)
+    own = [(lat + random.uniform(-0.02, 0.02), 116.3 + random.uniform(-0.02, 0.02)) for _ in range(25)]
+    rivals = [(lat + random.gauss(0, 0.002), 116.3 + random.gauss(0, 0.002)) for _ in range(150)] + [(lat + random.uniform(-0.03, 0.03), 116.3) for _ in range(20)] + [own[0]] * 5
+    to_df = lambda ps: spark.createDataFrame([("c", a, b) for a, b in ps], "city string, latitude double, longitude double")
+
+    def km(p, q):
+        (a, b), (c, d) = [tuple(map(math.radians, x)) for x in (p, q)]
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6371 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    got = {(r["latitude"], r["longitude"]): r["penalty"] for r in sites.nearby_counts(to_df(own), to_df(rivals)).collect()}
+    for p in own:
+        assert (got.get(p) or 0) == sum(15 if k <= 0.5 else 8 if k <= 1 else 3 if k <= 2 else 0 for k in (km(p, q) for q in rivals))
+
+
 def test_competition_defaults(spark):
     schema = "id int, city string, latitude double, longitude double"
     sites_df = spark.createDataFrame([(1, "a", None, 1.0), (2, "b", 1.0, 1.0), (3, "a", 0.0, 1.0)], schema)
