@@ -38,26 +38,15 @@ cs AS (SELECT *, greatest(greatest(sqrt(CAST(receipts AS DOUBLE) / max(receipts)
 ic AS (SELECT store_id, item_id, min(category) AS category FROM ln GROUP BY ALL),
 th AS (SELECT ic.store_id, ic.item_id, min_support * n AS mc FROM ic JOIN cs ON cs.store_id = ic.store_id AND cs.category = ic.category JOIN nb ON nb.store_id = ic.store_id)"""
 
-
-def _level(k: int) -> str:
-    """Sets of ``k`` frequent items; a set's count must reach the lowest threshold of its items."""
-    names = "abcde"[:k]
-    columns = ", ".join(f"{x}.item_id AS {x}" for x in names)
-    joins = " ".join(f"JOIN kb {y} ON {y}.store_id = a.store_id AND {y}.receipt_no = a.receipt_no AND {x}.item_id < {y}.item_id" for x, y in zip(names, names[1:]))
-    least = ", ".join(f"{x}.mc" for x in names)
-    return f"f{k} AS (SELECT a.store_id, {columns}, count(*) AS n FROM kb a {joins} GROUP BY ALL HAVING count(*) >= min(least({least})))"
-
-
-# No set of six brands is frequent in the tables that are compared, so five levels are all.
+# Every set of frequent items of every basket, of any size; a set's count must reach the lowest threshold of its items.
 SETS = f"""
 {LINES}, {SUPPORT},
 f1 AS (SELECT b.store_id, b.item_id, count(*) AS c, max(mc) AS mc FROM bk b JOIN th ON th.store_id = b.store_id AND th.item_id = b.item_id GROUP BY ALL HAVING count(*) >= max(mc)),
 kb AS (SELECT b.*, mc FROM bk b JOIN f1 ON f1.store_id = b.store_id AND f1.item_id = b.item_id),
-f2 AS (SELECT a.store_id, a.item_id AS a, b.item_id AS b, count(*) AS c, min(least(a.mc, b.mc)) AS mc FROM kb a JOIN kb b ON b.store_id = a.store_id AND b.receipt_no = a.receipt_no AND a.item_id < b.item_id
-       GROUP BY ALL HAVING count(*) >= min(least(a.mc, b.mc))),
-{_level(3)}, {_level(4)}, {_level(5)},
-sets AS (SELECT store_id, [item_id] AS items, c AS support_count FROM f1 UNION ALL SELECT store_id, [a, b], c FROM f2 UNION ALL SELECT store_id, [a, b, c], n FROM f3
-         UNION ALL SELECT store_id, [a, b, c, d], n FROM f4 UNION ALL SELECT store_id, [a, b, c, d, e], n FROM f5)"""
+sb(store_id, receipt_no, items, newest, mc) AS (
+  SELECT store_id, receipt_no, [item_id], item_id, mc FROM kb
+  UNION ALL SELECT sb.store_id, sb.receipt_no, list_append(items, item_id), item_id, least(sb.mc, kb.mc) FROM sb JOIN kb ON kb.store_id = sb.store_id AND kb.receipt_no = sb.receipt_no AND item_id > newest),
+sets AS (SELECT store_id, items, count(*) AS support_count FROM sb GROUP BY store_id, items HAVING count(*) >= min(mc))"""
 RULES = f"""
 {SETS},
 sp AS (SELECT *, unnest(range(1, (1 << len(items)) - 1)) AS m FROM sets WHERE len(items) >= 2),
@@ -96,21 +85,21 @@ def item_categories(t):
     return basket.item_categories(_lines(t))
 
 
-@query("frequent_pairs", f"WITH {SETS} SELECT store_id, a AS item_a, b AS item_b, c AS support_count FROM f2")
+@query("frequent_pairs", f"WITH RECURSIVE {SETS} SELECT store_id, items[1] AS item_a, items[2] AS item_b, support_count FROM sets WHERE len(items) = 2")
 def frequent_pairs(t):
     return _sets(t, 2).where(F.size("items") == 2).select(
         "store_id", F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), "support_count"
     )
 
 
-@query("frequent_itemsets", f"WITH {SETS} SELECT store_id, array_to_string(items, ',') AS items, support_count FROM sets")
+@query("frequent_itemsets", f"WITH RECURSIVE {SETS} SELECT store_id, array_to_string(items, ',') AS items, support_count FROM sets")
 def frequent_itemsets(t):
     return _sets(t).withColumn("items", F.array_join("items", ","))
 
 
 @query(
     "association_rules",
-    f"WITH {RULES} SELECT * EXCLUDE (ant, con), array_to_string(ant, ',') AS antecedent, array_to_string(con, ',') AS consequent FROM rules",
+    f"WITH RECURSIVE {RULES} SELECT * EXCLUDE (ant, con), array_to_string(ant, ',') AS antecedent, array_to_string(con, ',') AS consequent FROM rules",
 )
 def association_rules(t):
     return _rules(t).withColumn("antecedent", F.array_join("antecedent", ",")).withColumn(
@@ -129,12 +118,12 @@ def cooccurrence(t):
     return basket.cooccurrence(basket.baskets(_lines(t)), 10)
 
 
-@query("rule_graph", f"WITH {RULES}, {TOP}, s AS (SELECT store_id, unnest(ant) AS source, con, lift FROM tp) SELECT store_id, source, unnest(con) AS target, lift AS value FROM s")
+@query("rule_graph", f"WITH RECURSIVE {RULES}, {TOP}, s AS (SELECT store_id, unnest(ant) AS source, con, lift FROM tp) SELECT store_id, source, unnest(con) AS target, lift AS value FROM s")
 def rule_graph(t):
     return basket.rule_graph_edges(_rules(t), MIN_LIFT)
 
 
-@query("rule_graph_nodes", f"WITH {RULES}, {TOP}, s AS (SELECT store_id, unnest(list_concat(ant, con)) AS item_id, transaction_count FROM tp) SELECT store_id, item_id, max(transaction_count) AS value FROM s GROUP BY ALL")
+@query("rule_graph_nodes", f"WITH RECURSIVE {RULES}, {TOP}, s AS (SELECT store_id, unnest(list_concat(ant, con)) AS item_id, transaction_count FROM tp) SELECT store_id, item_id, max(transaction_count) AS value FROM s GROUP BY ALL")
 def rule_graph_nodes(t):
     return basket.rule_graph_nodes(_rules(t), MIN_LIFT)
 
@@ -142,7 +131,7 @@ def rule_graph_nodes(t):
 @query(
     "bundle_for",
     f"""
-WITH {RULES}, l AS (SELECT *, unnest(ant) AS for_item FROM rules),
+WITH RECURSIVE {RULES}, l AS (SELECT *, unnest(ant) AS for_item FROM rules),
 r AS (SELECT *, row_number() OVER (PARTITION BY store_id, for_item ORDER BY lift DESC, ant, con) AS rk FROM l),
 o AS (SELECT store_id, for_item, rk, support, confidence, lift, unnest(con) AS item_id, generate_subscripts(con, 1) AS pos FROM r),
 f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY store_id, for_item, item_id ORDER BY rk, pos) = 1)
@@ -168,7 +157,7 @@ def layout_clusters(t):
 
 @query(
     "query_rules",
-    f"WITH {RULES} SELECT * EXCLUDE (ant, con), array_to_string(ant, ',') AS antecedent, array_to_string(con, ',') AS consequent FROM rules WHERE lift >= {MIN_LIFT} ORDER BY lift DESC, ant, con, store_id LIMIT 20 OFFSET 20",
+    f"WITH RECURSIVE {RULES} SELECT * EXCLUDE (ant, con), array_to_string(ant, ',') AS antecedent, array_to_string(con, ',') AS consequent FROM rules WHERE lift >= {MIN_LIFT} ORDER BY lift DESC, ant, con, store_id LIMIT 20 OFFSET 20",
 )
 def query_rules(t):
     rows = basket.query_rules(_rules(t), min_lift=MIN_LIFT, page_no=2)
@@ -180,7 +169,7 @@ def query_rules(t):
 @query(
     "run_basket_analysis",
     f"""
-WITH {RULES}, r AS (SELECT store_id, count(*) AS n FROM rules GROUP BY store_id), s AS (SELECT store_id, count(*) AS n FROM sets GROUP BY store_id)
+WITH RECURSIVE {RULES}, r AS (SELECT store_id, count(*) AS n FROM rules GROUP BY store_id), s AS (SELECT store_id, count(*) AS n FROM sets GROUP BY store_id)
 SELECT nb.store_id, nb.n AS n_baskets, coalesce(s.n, 0) AS frequent_itemsets_count, coalesce(r.n, 0) AS rules_found, coalesce(r.n, 0) AS rules_stored
 FROM nb LEFT JOIN s ON s.store_id = nb.store_id LEFT JOIN r ON r.store_id = nb.store_id""",
 )
