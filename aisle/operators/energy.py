@@ -301,8 +301,10 @@ def energy_cost_advice(
 
 def budget_alerts(daily: DataFrame, budgets: DataFrame, month: str) -> DataFrame:
     """Stores at or over their budget (critical) or its warning share in a month."""
+    first = F.lit(f"{month}-01").cast("date")
+    # A closed range of dates reaches the scan; a formatted month would not.
     used = (
-        daily.where(F.date_format("energy_date", "yyyy-MM") == month)
+        daily.where((F.col("energy_date") >= first) & (F.col("energy_date") < F.add_months(first, 1)))
         .groupBy("store_id")
         .agg(money_sum("total_kwh").alias("metric_value"))
     )

@@ -21,12 +21,20 @@ HISTORY_DAYS = 365
 DAMPING = 0.95
 BASELINE_DAYS = 14
 PROMO_HISTORY = 10
-# Holidays as month and first to last day.
-HOLIDAYS = [(1, 1, 3), (2, 10, 16), (4, 4, 6), (5, 1, 5), (6, 10, 12), (9, 15, 17), (10, 1, 7)]
+# Holidays as (month, day).
+HOLIDAYS = [
+    (1, 1), (1, 2), (1, 3),
+    (2, 10), (2, 11), (2, 12), (2, 13), (2, 14), (2, 15), (2, 16),
+    (4, 4), (4, 5), (4, 6),
+    (5, 1), (5, 2), (5, 3), (5, 4), (5, 5),
+    (6, 10), (6, 11), (6, 12),
+    (9, 15), (9, 16), (9, 17),
+    (10, 1), (10, 2), (10, 3), (10, 4), (10, 5), (10, 6), (10, 7),
+]
 
 
 def holiday_keys() -> list[str]:
-    return [f"{month:02d}-{day:02d}" for month, first, last in HOLIDAYS for day in range(first, last + 1)]
+    return [f"{month:02d}-{day:02d}" for month, day in HOLIDAYS]
 
 
 def holiday_flag(day: Column) -> Column:

@@ -1,39 +1,83 @@
-"""Types of the fact and dimension tables the operators read."""
+"""Types of the fact and dimension tables the operators read, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TYPES = {
-    "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(),
-    "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
-    "strings": T.ArrayType(T.StringType()),
-}
-
-# Columns of each relation as name:type.
+# Columns of each relation.
 TABLES = {
-    "stores": "id:long code:string name:string region:string city:string district:string area_sqm:double store_type:string is_active:boolean",
-    "sales": "store_id:long sale_date:date receipt_no:string item_id:string item_name:string category:string brand:string quantity:double unit_price:double total_amount:double discount_amount:double member_id:long channel:string",
-    "inventory": "store_id:long item_id:string item_name:string category:string quantity:double unit_cost:double total_value:double snapshot_date:date min_stock:double max_stock:double status:string",
-    "traffic": "store_id:long traffic_date:date hour:int enter_count:int exit_count:int pass_by_count:int conversion_rate:double",
-    "weather": "city:string weather_date:date condition:string temp_high:double temp_low:double humidity:double wind_speed:double precipitation:double aqi:int",
-    "promotions": "id:long store_id:long promo_code:string name:string promo_type:string start_date:date end_date:date discount_rate:double discount_amount:double target_category:string target_items:string status:string",
-    "members": "id:long member_no:string name:string phone:string gender:string birthday:date register_date:date register_store_id:long level:string total_points:int tags:strings rfm_segment:string is_active:boolean",
-    "member_transactions": "id:long member_id:long store_id:long transaction_date:timestamp amount:double receipt_no:string",
-    "products": "id:long item_id:string item_name:string category:string brand:string unit_cost:double launch_date:date is_active:boolean",
-    "association_rules": "store_id:long antecedent:strings consequent:strings support:double confidence:double lift:double conviction:double leverage:double transaction_count:long period_start:string period_end:string category_filter:string",
-    "market_signals": "id:long signal_type:string signal_date:date region:string category:string value:double raw_value:double source:string confidence:double",
-    "energy_readings": "id:long store_id:long equipment_id:long reading_time:timestamp power_kw:double energy_kwh:double operational_state:string",
-    "container_events": "event_id:long container_id:long event_type:string event_time:timestamp location:string equipment_id:long operator_id:long",
+    "stores": """
+        id BIGINT, code STRING, name STRING, region STRING, city STRING, district STRING, area_sqm DOUBLE,
+        store_type STRING, is_active BOOLEAN
+    """,
+    "sales": """
+        store_id BIGINT, sale_date DATE, receipt_no STRING, item_id STRING, item_name STRING, category STRING,
+        brand STRING, quantity DOUBLE, unit_price DOUBLE, total_amount DOUBLE, discount_amount DOUBLE, member_id BIGINT,
+        channel STRING
+    """,
+    "inventory": """
+        store_id BIGINT, item_id STRING, item_name STRING, category STRING, quantity DOUBLE, unit_cost DOUBLE,
+        total_value DOUBLE, snapshot_date DATE, min_stock DOUBLE, max_stock DOUBLE, status STRING
+    """,
+    "traffic": """
+        store_id BIGINT, traffic_date DATE, hour INT, enter_count INT, exit_count INT, pass_by_count INT,
+        conversion_rate DOUBLE
+    """,
+    "weather": """
+        city STRING, weather_date DATE, condition STRING, temp_high DOUBLE, temp_low DOUBLE, humidity DOUBLE,
+        wind_speed DOUBLE, precipitation DOUBLE, aqi INT
+    """,
+    "promotions": """
+        id BIGINT, store_id BIGINT, promo_code STRING, name STRING, promo_type STRING, start_date DATE, end_date DATE,
+        discount_rate DOUBLE, discount_amount DOUBLE, target_category STRING, target_items STRING, status STRING
+    """,
+    "members": """
+        id BIGINT, member_no STRING, name STRING, phone STRING, gender STRING, birthday DATE, register_date DATE,
+        register_store_id BIGINT, level STRING, total_points INT, tags ARRAY<STRING>, rfm_segment STRING,
+        is_active BOOLEAN
+    """,
+    "member_transactions": """
+        id BIGINT, member_id BIGINT, store_id BIGINT, transaction_date TIMESTAMP, amount DOUBLE, receipt_no STRING
+    """,
+    "products": """
+        id BIGINT, item_id STRING, item_name STRING, category STRING, brand STRING, unit_cost DOUBLE, launch_date DATE,
+        is_active BOOLEAN
+    """,
+    "association_rules": """
+        store_id BIGINT, antecedent ARRAY<STRING>, consequent ARRAY<STRING>, support DOUBLE, confidence DOUBLE,
+        lift DOUBLE, conviction DOUBLE, leverage DOUBLE, transaction_count BIGINT, period_start STRING,
+        period_end STRING, category_filter STRING
+    """,
+    "market_signals": """
+        id BIGINT, signal_type STRING, signal_date DATE, region STRING, category STRING, value DOUBLE, raw_value DOUBLE,
+        source STRING, confidence DOUBLE
+    """,
+    "energy_readings": """
+        id BIGINT, store_id BIGINT, equipment_id BIGINT, reading_time TIMESTAMP, power_kw DOUBLE, energy_kwh DOUBLE,
+        operational_state STRING
+    """,
+    "container_events": """
+        event_id BIGINT, container_id BIGINT, event_type STRING, event_time TIMESTAMP, location STRING,
+        equipment_id BIGINT, operator_id BIGINT
+    """,
 }
 
 
 def schema(name: str) -> T.StructType:
-    fields = (f.split(":") for f in TABLES[name].split())
-    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in fields])
+    return T.StructType.fromDDL(TABLES[name])
 
 
-def load_table(spark: SparkSession, directory: str, name: str):
-    """Stored relation with its declared types; date partitions prune by filter."""
+def load_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """Stored relation with its declared types; date partitions prune by filter, absent columns are null."""
     return spark.read.schema(schema(name)).parquet(f"{directory.rstrip('/')}/{name}")
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """Rows in the declared columns, order and types of a relation: absent columns and values that do not cast are null."""
+    have = {c.lower() for c in df.columns}
+    fields = schema(name).fields
+    return df.select(
+        *[(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields]
+    )

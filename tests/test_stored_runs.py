@@ -7,6 +7,7 @@ from statistics import NormalDist, median
 import pytest
 from pyspark.sql import functions as F
 
+from aisle import schemas
 from aisle.functions import scope, stats
 from aisle.operators import lifecycle, quality, supply
 
@@ -82,3 +83,16 @@ def test_order_lines_are_flat(spark):
     assert sorted((r.order_no, r.line_no or 0, r.item_id or 0) for r in rows) == [(1, 1, 7), (1, 2, 1200), (1, 3, 2500), (2, 0, 0)]
     log = spark.createDataFrame([(i, i % 3, datetime(2024, 1, 1 + i)) for i in range(9)], "id long, store_id long, created_at timestamp")
     assert [r.id for r in supply.list_adjustments(log, [1, 2], 2, 4).collect()] == [2, 1]
+
+
+def test_declared_types(spark, tmp_path):
+    rows = spark.createDataFrame([("7", "2024-02-30", "r1", "1.5"), ("x", "2024-02-29", "r2", "n/a")], "store_id string, sale_date string, receipt_no string, quantity string")
+    typed = schemas.conform(rows, "sales")
+    assert typed.schema == schemas.schema("sales")
+    assert [(r.store_id, str(r.sale_date), r.quantity, r.channel) for r in typed.orderBy("receipt_no").collect()] == [
+        (7, "None", 1.5, None), (None, "2024-02-29", None, None),
+    ]
+    typed.write.parquet(f"{tmp_path}/sales")
+    assert schemas.load_table(spark, str(tmp_path), "sales").where("quantity = 1.5").count() == 1
+    for name in schemas.TABLES:
+        assert schemas.conform(rows, name).columns == [f.name for f in schemas.schema(name)]
