@@ -48,6 +48,8 @@ TRUST = 0.95
 CONSISTENCY = 1.41
 #: Squared distance beyond which a text is rejected: the upper 1e-5 tail.
 CUTOFF = 30.86
+#: Parts into which the rows of a group are dealt where they meet its estimates.
+PARTS = 32
 #: Rows with the centre and spread of the whole language that every subset holds besides, so that small sources lean on their language.
 PRIOR_ROWS = 50
 
@@ -110,6 +112,13 @@ def _quartiles(counts: DataFrame, keys: list[str], centre: str, spread: str) ->
     )
 
 
+def _meet(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Every row beside the rows of ``table`` of its group. A hot group is dealt by scan partition, as the table may be too long to broadcast."""
+    dealt = rows.withColumn("part", F.spark_partition_id() % PARTS)
+    copies = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(copies, [*GROUP, "part"]).drop("part")
+
+
 def _starts(rows: DataFrame) -> DataFrame:
     """Three first estimates of every group around its medians, with the spreads of its quartiles: uncorrelated,
     with the correlations of tanh(z), and with those of the signs z / |z|.
@@ -125,7 +134,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     language = counts.groupBy("lang_key", "name", "bin").agg(F.sum("rows").alias("rows"))
     scale = _quartiles(counts, GROUP, "m", "d").join(_quartiles(language, ["lang_key"], "t", "u"), "lang_key")
     scale = cut_lineage(scale, "scale")
-    z = rows.join(scale, GROUP).select(*GROUP, *[((F.col(f"x_{n}") / SCALE - F.col(f"m_{n}")) / F.col(f"d_{n}")).alias(n) for n in NAMES])
+    z = _meet(rows, scale).select(*GROUP, *[((F.col(f"x_{n}") / SCALE - F.col(f"m_{n}")) / F.col(f"d_{n}")).alias(n) for n in NAMES])
     z = z.withColumn("norm", F.greatest(_total([F.col(n) * F.col(n) for n in NAMES]), F.lit(1e-12)))
     whole = lambda c, unit: F.sum(F.round(c * unit).cast("long"))
     sums = z.groupBy(*GROUP).agg(
@@ -171,7 +180,7 @@ def _estimate() -> Column:
 
 def _distance(rows: DataFrame, shape: DataFrame) -> DataFrame:
     """Squared Mahalanobis distance ``d2`` of every row to the estimates of its group, by forward substitution."""
-    out = rows.join(shape, GROUP)
+    out = _meet(rows, shape)
     for k, n in enumerate(NAMES):
         value = F.col(f"x_{n}") / SCALE - F.col(f"est.m_{n}")
         for earlier in NAMES[:k]:
@@ -195,15 +204,16 @@ def _concentrate(rows: DataFrame, shape: DataFrame) -> DataFrame:
     upto = bins.select(*key, "bin", "rows", F.sum("rows").over(of.orderBy("bin")).alias("upto"), (F.sum("rows").over(of) * SUBSET).alias("want"))
     last = upto.where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("rows") < F.col("want")))
     ends = last.select(*key, "want", F.col("bin").alias("end"), ((F.col("want") - F.col("upto") + F.col("rows")) / F.col("rows")).alias("share"))
-    near = _distance(rows, moving.join(ends, key)).withColumn("bin", place).where(F.col("bin") <= F.col("end"))
+    near = _distance(rows, moving.drop("prior").join(ends, key)).withColumn("bin", place).where(F.col("bin") <= F.col("end"))
     sums = {f"s_{n}": F.col(f"x_{n}") for n in NAMES} | {f"p_{a}_{b}": F.col(f"x_{a}") * F.col(f"x_{b}") for a, b in PAIRS}
     # Whole numbers apart for the rows inside and those of the last bin: no sum depends on the order of rows.
     part = lambda test, v: F.coalesce(F.sum(F.when(test, v)), F.lit(0))
     inside = near.groupBy(*key).agg(
-        F.first("prior").alias("prior"), F.first("want").alias("want"), F.first("share").alias("share"),
+        F.first("want").alias("want"), F.first("share").alias("share"),
         *[part(F.col("bin") < F.col("end"), v).alias(f"in_{k}") for k, v in sums.items()],
         *[part(F.col("bin") == F.col("end"), v).alias(f"at_{k}") for k, v in sums.items()],
     )
+    inside = inside.join(moving.select(*key, "prior"), key)
     weight = F.col("want") + PRIOR_ROWS
     prior = lambda c, n: F.col(f"prior.{c}_{n}")
     seen = lambda k, unit: (F.col(f"in_{k}") + F.col("share") * F.col(f"at_{k}")) / unit
