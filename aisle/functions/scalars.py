@@ -26,11 +26,6 @@ def money_units(c: Column | str) -> Column:
     return F.rint(as_column(c) * UNITS).cast("long").cast("decimal(18,0)")
 
 
-def money_avg(c: Column | str) -> Column:
-    c = as_column(c)
-    return F.try_divide(money_sum(c), F.count(c).cast("double"))
-
-
 def round_to(c: Column | str, digits: int) -> Column:
     """Half-up rounding by scaling, the same arithmetic in every engine that has IEEE doubles."""
     scale = float(10**digits)
@@ -67,10 +62,6 @@ def sunday_dow(c: Column | str) -> Column:
     return F.dayofweek(as_column(c)) - 1
 
 
-def whole_days(later: Column | str, earlier: Column | str) -> Column:
-    return F.datediff(as_column(later), as_column(earlier))
-
-
 def great_circle_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     half_lat = F.radians(lat2 - lat1) / 2
     half_lng = F.radians(lng2 - lng1) / 2
