@@ -36,8 +36,10 @@ CONFLICT_KEYS = {
     "traffic": ["store_id", "traffic_date", "hour"],
     "weather": ["city", "weather_date"],
 }
-#: Key column by which stored rows lie in folders, so that an import only looks at the folders that it has keys for.
-FOLDERS = {"sales": ["store_id"], "inventory": ["snapshot_date"], "traffic": ["traffic_date"], "weather": ["weather_date"]}
+#: Column by which stored rows lie in folders, so that an import only looks at the folders that it has keys for.
+#: It is a key column or, where that has very many values, a group of them: a folder costs a file and its Bloom filters.
+FOLDERS = {"sales": ["store_group"], "inventory": ["snapshot_date"], "traffic": ["traffic_date"], "weather": ["weather_date"]}
+STORE_GROUPS = 64
 NUMERIC_STORE = {"sales", "inventory"}
 WEATHER_NUMBERS = ["temp_high", "temp_low", "humidity", "wind_speed", "precipitation"]
 COPIES = "_copies"
@@ -258,11 +260,18 @@ def clean(df: DataFrame, entity: str) -> Cleaned:
     return Cleaned(clean_rows(df, entity), clean_stats(df, entity))
 
 
+def with_folders(rows: DataFrame, entity: str) -> DataFrame:
+    """Clean rows with the folder column that is no column of the feed."""
+    if "store_group" not in FOLDERS.get(entity, []):
+        return rows
+    return rows.withColumn("store_group", F.pmod(F.xxhash64("store_id"), F.lit(STORE_GROUPS)).cast("int"))
+
+
 def run_import(spark: SparkSession, path: str, entity: str, target: str, line_breaks: bool = True) -> dict[str, int]:
     """One import: read, clean, drop rows whose key is stored already, publish all or nothing. ``line_breaks`` as in ``read_feed``."""
     feed = cut_lineage(read_feed(spark, path, line_breaks))
     cleaned = clean(feed, entity)
-    rows = cut_lineage(cleaned.rows, f"clean-{entity}")
+    rows = cut_lineage(with_folders(cleaned.rows, entity), f"clean-{entity}")
     keys, folders = CONFLICT_KEYS.get(entity), FOLDERS.get(entity, [])
     # Equal keys inside one file: the smallest row by its other columns stands for the first.
     fresh = absent_from(target, rows, keys, [F.struct(*[c for c in rows.columns if c not in keys])], folders) if keys else rows

@@ -77,7 +77,7 @@ def _keyed_writer(df: DataFrame, keys: Sequence[str], folders: Sequence[str]) ->
 def stored_near(path: str, batch: DataFrame, keys: Sequence[str], folders: Sequence[str], but: Column | None = None) -> DataFrame:
     """Stored keys that may equal one of ``batch``: only its folders are listed, only row groups in its key ranges are read.
 
-    ``folders`` must be key columns. Their different values in the batch, at most as many as the table has folders of
+    ``folders`` must be key columns or follow from them, and stand in ``batch``. Their different values in the batch, at most as many as the table has folders of
     interest to it, come to the driver as filter literals, with one least and greatest value for each other key column.
     ``but`` leaves stored rows out.
     """
@@ -85,7 +85,7 @@ def stored_near(path: str, batch: DataFrame, keys: Sequence[str], folders: Seque
     inner = [k for k in keys if k not in folders]
     ends = [f(k).alias(f"{name}_{k}") for k in inner for name, f in (("low", F.min), ("high", F.max))]
     found = batch.agg(F.count(F.lit(1)).alias("n"), *ends, *[F.collect_set(f).alias(f"in_{f}") for f in folders]).first()
-    fields = [batch.schema[k] for k in keys]
+    fields = [batch.schema[k] for k in dict.fromkeys([*keys, *folders])]
     stored = spark.read.schema(StructType([*fields, *([StructField("batch", StringType())] if but is not None else [])])).parquet(path)
     if but is not None:
         stored = stored.where(but)
