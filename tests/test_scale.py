@@ -24,6 +24,15 @@ def _folders(place):
     return {p.parent.name for p in place.rglob("*.parquet")}
 
 
+def test_import_folders_do_not_grow_with_stores(spark, tmp_path):
+    path, target = str(tmp_path / "in"), tmp_path / "out"
+    sinks.export_csv(_sales(spark).coalesce(1), path)
+    assert cleaning.run_import(spark, path, "sales", str(target))["success_rows"] == 300
+    assert len(_folders(target)) <= cleaning.STORE_GROUPS
+    assert cleaning.run_import(spark, path, "sales", str(target))["conflict_rows"] == 300
+    assert {r["store_id"] for r in spark.read.parquet(str(target)).collect()} == set(range(300))
+
+
 def test_stream_import_folders_do_not_grow_with_stores(spark, tmp_path):
     source, target = str(tmp_path / "in"), tmp_path / "out"
     _sales(spark).coalesce(1).write.parquet(source)
