@@ -9,6 +9,8 @@ is then spread over all its buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +110,12 @@ def interpolate(
     """Linear fill of nulls by row position inside each key; the ends take the nearest value.
 
     Rows are numbered inside their bucket; one summary row per bucket carries the
-    offset of the numbering and the nearest known points of the buckets around.
+    offset of the numbering and the nearest known points of the buckets around. Rows without key or bucket
+    go in the end; those without bucket still count as the first ones of their key.
     """
-    rows = df.withColumn("_lp", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
+    # What the join below asks of the keys stands before both of its sides, so that they can be one shuffle.
+    keyed = reduce(lambda rows, k: rows.where(F.col(k).isNotNull()), keys, df)
+    rows = keyed.withColumn("_lp", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
     point = {v: F.when(F.col(v).isNotNull(), F.struct(F.col("_lp").alias("p"), F.col(v).alias("v"))) for v in values}
     ends = rows.groupBy(*keys, bucket).agg(
         F.count(F.lit(1)).alias("_n"),

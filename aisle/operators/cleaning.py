@@ -128,7 +128,11 @@ def interpolate(
         return df
     keys = [*by, group]
     # The fill reads its input twice; what stands before it (coercion, dedupe) should run once.
-    rows = cut_lineage(df.withColumn("_bucket", bucket))
+    placed = df.withColumn("_bucket", bucket)
+    rows = cut_lineage(placed)
+    if not placed.schema["_bucket"].nullable:
+        # Files do not tell; said here, both readings are one shuffle.
+        rows = rows.where(F.col("_bucket").isNotNull())
     filled = ordered.interpolate(rows, columns, keys, "_bucket", [F.col(c).asc_nulls_first() for c in order]).drop("_bucket")
     if not median_fallback:
         return filled.fillna(0.0, columns)
@@ -152,6 +156,8 @@ def _order(df: DataFrame, first: list[str]) -> list[str]:
 def clean_sales(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct rows with filled keys in, typed valid sale lines out."""
     typed = coerce(df, ["store_id", "quantity", "unit_price", "total_amount"]).where(F.col("store_id").isNotNull())
+    # As text, which gives every number back: Spark deals floating keys anew for each grouping, as it normalises them first.
+    typed = typed.withColumn("store_id", (F.col("store_id") + F.lit(0.0)).cast("string"))
     dated = typed.withColumn("_day", F.coalesce(lenient_date("sale_date"), F.lit(NO_DATE).cast("date")))
     order = ["_day", *_order(df, ["receipt_no", "item_id"])]
     # Days are cut once more by receipt, so that one busy day of one store is no single bucket.
@@ -166,7 +172,7 @@ def clean_sales(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     recalculated = F.when(
         (F.col("total_amount") == 0) & (F.col("unit_price") > 0), F.col("quantity") * F.col("unit_price")
     ).otherwise(F.col("total_amount"))
-    return valid.withColumn("total_amount", recalculated).withColumn("store_id", F.col("store_id").cast("long"))
+    return valid.withColumn("total_amount", recalculated).withColumn("store_id", F.col("store_id").cast("double").cast("long"))
 
 
 def clean_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

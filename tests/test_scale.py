@@ -56,3 +56,11 @@ def _dealt_before_grouped(df, scan):
 @pytest.fixture(scope="module")
 def tables(spark):
     return Tables(spark, "/root/testdata/sf0.001")
+
+
+def test_interpolation_shuffles_rows_once(spark):
+    plan = _plan(cleaning.clean_rows(_sales(spark), "sales"))
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    # Rows and ends by store and bucket, and the ends by store; AQE finds the two equal ones of the rows when it runs.
+    assert len(exchanges) <= 4
+    assert sum("store_id" in line and "_bucket" not in line for line in exchanges) == 1
