@@ -58,6 +58,10 @@ def tables(spark):
     return Tables(spark, "/root/testdata/sf0.001")
 
 
+def test_purchase_orders_are_dealt_before_grouped(spark, tables):
+    assert _dealt_before_grouped(supply.supplier_trend(tables("supplier_performance")), "l_orderkey")
+
+
 def test_interpolation_shuffles_rows_once(spark):
     plan = _plan(cleaning.clean_rows(_sales(spark), "sales"))
     exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
