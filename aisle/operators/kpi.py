@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aisle.functions.listing import global_rank
 from aisle.functions.scalars import UNITS, metric_expr, money_sum, money_units, round_to, safe_div
 from aisle.functions.scope import between_dates, scope_stores
+from aisle.session import deal
 
 
 def kpi_summary(
@@ -22,7 +23,7 @@ def kpi_summary(
     days = (date.fromisoformat(end) - date.fromisoformat(start)).days + 1
     lines = scope_stores(between_dates(sales, "sale_date", start, end), store_ids)
     # Lines fold to receipts first, so the distinct counts expand receipts and not lines.
-    receipts = lines.groupBy(*dict.fromkeys([*receipt_key, "store_id", "member_id"])).agg(
+    receipts = deal(lines, *receipt_key).groupBy(*dict.fromkeys([*receipt_key, "store_id", "member_id"])).agg(
         F.sum(money_units("total_amount")).alias("_g"), F.sum(money_units("discount_amount")).alias("_d")
     )
     total = lambda c: F.coalesce(F.sum(c).cast("double") / UNITS, F.lit(0.0))

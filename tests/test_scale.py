@@ -58,6 +58,11 @@ def tables(spark):
     return Tables(spark, "/root/testdata/sf0.001")
 
 
+def test_summary_deals_lines_before_receipts(spark, tables):
+    lines = tables.sales("sale_date", "store_id", "receipt_no", "member_id", "total_amount", "discount_amount")
+    assert _dealt_before_grouped(kpi.kpi_summary(lines, tables.stores, "1995-01-01", "2001-11-04"), "l_orderkey")
+
+
 def test_purchase_orders_are_dealt_before_grouped(spark, tables):
     assert _dealt_before_grouped(supply.supplier_trend(tables("supplier_performance")), "l_orderkey")
 
