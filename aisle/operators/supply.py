@@ -9,6 +9,7 @@ from aisle.functions import ordered
 from aisle.functions.listing import latest_per_key, page, top_k
 from aisle.functions.scalars import money_sum, round_to, safe_div
 from aisle.functions.scope import scope_stores
+from aisle.session import deal
 
 ORDER_KEYS = ("order_no", "supplier_id")
 ITEMS_PER_BUCKET = 1000
@@ -194,7 +195,7 @@ def apply_receipts(order_items: DataFrame, receipts: DataFrame, keys: tuple[str,
 def orders_with_items(orders: DataFrame, order_items: DataFrame, keys: tuple[str, ...] = ORDER_KEYS) -> DataFrame:
     """Order header with the number of its lines and the lines as an array: one row per order, however long it is."""
     line = F.struct(*[c for c in order_items.columns if c not in keys])
-    nested = order_items.groupBy(*keys).agg(
+    nested = deal(order_items, *keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(line)).alias("items")
     )
     return orders.join(nested, list(keys), "left").fillna(0, ["lines"])
