@@ -206,8 +206,9 @@ def order_lines(orders: DataFrame, order_items: DataFrame, keys: tuple[str, ...]
 
     Lines are numbered by item through buckets of items, so a very long order is spread.
     """
+    bucketed = order_items.withColumn("_bucket", F.floor(F.col("item_id") / ITEMS_PER_BUCKET))
     numbered = ordered.position(
-        order_items.withColumn("_bucket", F.floor(F.col("item_id") / ITEMS_PER_BUCKET)), list(keys), "_bucket",
+        deal(bucketed, *keys, "_bucket"), list(keys), "_bucket",
         [F.col(c) for c in ("item_id", *[c for c in order_items.columns if c not in (*keys, "item_id")])], "line_no",
     ).drop("_bucket")
     return orders.join(numbered, list(keys), "left")

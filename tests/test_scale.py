@@ -67,6 +67,15 @@ def test_purchase_orders_are_dealt_before_grouped(spark, tables):
     assert _dealt_before_grouped(supply.supplier_trend(tables("supplier_performance")), "l_orderkey")
 
 
+@pytest.mark.parametrize("operator", [supply.order_lines, supply.orders_with_items])
+def test_order_items_are_dealt_before_grouped(spark, operator):
+    orders = spark.createDataFrame([("o1", 1, "x"), ("o2", 1, "y")], "order_no string, supplier_id int, status string")
+    items = spark.createDataFrame([("o1", 1, 5, 2.0), ("o1", 1, 4, 1.0)], "order_no string, supplier_id int, item_id int, quantity double")
+    found = operator(orders, items)
+    assert _dealt_before_grouped(found, "LogicalRDD" if "LogicalRDD" in _plan(found) else "Scan")
+    assert found.count() == (3 if operator is supply.order_lines else 2)
+
+
 def test_interpolation_shuffles_rows_once(spark):
     plan = _plan(cleaning.clean_rows(_sales(spark), "sales"))
     exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
