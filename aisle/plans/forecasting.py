@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aisle.operators import demand, forecast, quality
 from aisle.plans.registry import query
-from aisle.session import checkpoint_root
+from aisle.session import checkpoint_root, deal
 
 AS_OF = "2001-11-04"
 START = "2000-11-04"
@@ -125,7 +125,8 @@ def sales_forecast(t):
 
 @query("promo_lift", f"WITH {LIFT} SELECT * FROM lf")
 def promo_lift(t):
-    daily = _lines(t).groupBy("store_id", "sale_date").agg(
+    # Few lines share a store and day.
+    daily = deal(_lines(t), "store_id", "sale_date").groupBy("store_id", "sale_date").agg(
         F.sum(F.col("total_amount").cast("decimal(18,4)")).cast("double").alias("value"), F.count(F.lit(1)).alias("lines")
     )
     return forecast.promo_lift(daily, t("promotions"))

@@ -76,6 +76,10 @@ def test_order_items_are_dealt_before_grouped(spark, operator):
     assert found.count() == (3 if operator is supply.order_lines else 2)
 
 
+def test_promo_days_are_dealt_before_grouped(spark, tables):
+    assert _dealt_before_grouped(forecasting.promo_lift(tables), "l_suppkey")
+
+
 def test_interpolation_shuffles_rows_once(spark):
     plan = _plan(cleaning.clean_rows(_sales(spark), "sales"))
     exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
