@@ -86,3 +86,18 @@ def test_interpolation_shuffles_rows_once(spark):
     # Rows and ends by store and bucket, and the ends by store; AQE finds the two equal ones of the rows when it runs.
     assert len(exchanges) <= 4
     assert sum("store_id" in line and "_bucket" not in line for line in exchanges) == 1
+
+
+@pytest.mark.parametrize("item", [pa.string(), pa.int64()])
+def test_mining_stays_in_arrow(item):
+    value = str if item == pa.string() else int
+    tails = [[1, 2], [1], [], [1, 2, 3], [2]]
+    group = pa.table({
+        basket.SLICE: pa.array([7] * 5), "prefix": pa.array([[value(0)]] * 5, pa.list_(item)), "least": pa.array([2.0] * 5),
+        "tail": pa.array([[value(x) for x in t] for t in tails], pa.list_(item)),
+    })
+    parts = pa.concat_tables([group.slice(0, 2), group.slice(2)])
+    found = {tuple(r["items"]): r["support_count"] for r in basket._mine(None)(parts).to_pylist()}
+    assert found == {(value(0), value(1)): 3, (value(0), value(2)): 3, (value(0), value(1), value(2)): 2}
+    rare = basket._mine(None)(group.set_column(2, "least", pa.array([9.0] * 5)))
+    assert rare.num_rows == 0 and rare.schema.field("items").type == pa.list_(item)
