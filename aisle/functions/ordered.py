@@ -104,6 +104,51 @@ def newest_rows(
     )
 
 
+def _points(values: list[str]) -> dict[str, Column]:
+    return {v: F.when(F.col(v).isNotNull(), F.struct(F.col("_lp").alias("p"), F.col(v).alias("v"))) for v in values}
+
+
+def _line(v: str, prev, following, place: Column) -> Column:
+    """The value itself, or the one on the line between the known points (``p``, ``v``) around its place."""
+    gap = following["p"] - prev["p"]
+    line = prev["v"] + (following["v"] - prev["v"]) * (place - prev["p"]) / gap
+    return (
+        F.when(F.col(v).isNotNull(), F.col(v))
+        .when(prev["p"].isNull(), following["v"])
+        .when(following["p"].isNull(), prev["v"])
+        .otherwise(line)
+    )
+
+
+def interpolate_whole(
+    df: DataFrame, values: list[str], keys: list[str], order: list[Column], deal_by: list[str] | None = None
+) -> DataFrame:
+    """As ``interpolate``, for keys that one task can hold: every key's rows are one window, and nothing is carried over.
+
+    Rows are dealt by ``deal_by``, some of the keys, so that what follows can group by these without a shuffle.
+    """
+    keyed = reduce(lambda rows, k: rows.where(F.col(k).isNotNull()), keys, df)
+    # The numbers go on from key to key in a task; only distances inside a key are used. Numbering and points share one sort.
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    to_come = Window.partitionBy(*keys).orderBy(F.desc("_lp")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = keyed.repartition(*(deal_by or keys)).sortWithinPartitions(*keys, *order)
+    rows = rows.withColumn("_lp", F.monotonically_increasing_id())
+    for side, rows_of in (("prev", so_far), ("next", to_come)):
+        known = [F.last(F.when(F.col(v).isNotNull(), F.col("_lp")), True).over(rows_of).alias(f"_{side}_p_{v}") for v in values]
+        rows = rows.select("*", *known, *[F.last(v, True).over(rows_of).alias(f"_{side}_v_{v}") for v in values])
+    for v in values:
+        prev, following = ({"p": F.col(f"_{side}_p_{v}"), "v": F.col(f"_{side}_v_{v}")} for side in ("prev", "next"))
+        rows = rows.withColumn(v, _line(v, prev, following, F.col("_lp")))
+    return rows.select(*df.columns)
+
+
+def chunk_numbers(df: DataFrame, keys: list[str], bucket: str, rows: int, out: str) -> DataFrame:
+    """Per key and bucket the number of the chunk it lies in: neighbouring buckets with about ``rows`` rows together."""
+    sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_before(keys, bucket)), F.lit(0))
+    return sizes.select(*keys, bucket, F.floor(before / F.lit(rows)).alias(out))
+
+
 def interpolate(
     df: DataFrame, values: list[str], keys: list[str], bucket: str, order: list[Column]
 ) -> DataFrame:
@@ -116,7 +161,7 @@ def interpolate(
     # What the join below asks of the keys stands before both of its sides, so that they can be one shuffle.
     keyed = reduce(lambda rows, k: rows.where(F.col(k).isNotNull()), keys, df)
     rows = keyed.withColumn("_lp", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
-    point = {v: F.when(F.col(v).isNotNull(), F.struct(F.col("_lp").alias("p"), F.col(v).alias("v"))) for v in values}
+    point = _points(values)
     ends = rows.groupBy(*keys, bucket).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.min(point[v]).alias(f"_head_{v}") for v in values],
@@ -148,13 +193,5 @@ def interpolate(
     for v in values:
         prev = F.coalesce(placed(f"_prev_{v}"), F.col(f"_before_{v}"))
         following = F.coalesce(placed(f"_next_{v}"), F.col(f"_after_{v}"))
-        gap = following["p"] - prev["p"]
-        line = prev["v"] + (following["v"] - prev["v"]) * (F.col("_offset") + F.col("_lp") - prev["p"]) / gap
-        out = out.withColumn(
-            v,
-            F.when(F.col(v).isNotNull(), F.col(v))
-            .when(prev.isNull(), following["v"])
-            .when(following.isNull(), prev["v"])
-            .otherwise(line),
-        )
+        out = out.withColumn(v, _line(v, prev, following, F.col("_offset") + F.col("_lp")))
     return out.select(*df.columns)

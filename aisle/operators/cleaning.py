@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from aisle.functions import ordered
 from aisle.functions.stats import exact_medians, exact_quantiles
 from aisle.session import cut_lineage
+from aisle.sources import hadoop
 from aisle.sources.feeds import read_feed
-from aisle.sources.sinks import absent_from, load_atomic
+from aisle.sources.sinks import load_atomic, not_stored, stored_near
 
 # Columns that must be present, keys that must be filled, and keys of stored rows.
 REQUIRED = {
@@ -40,10 +41,18 @@ CONFLICT_KEYS = {
 #: It is a key column or, where that has very many values, a group of them: a folder costs a file and its Bloom filters.
 FOLDERS = {"sales": ["store_group"], "inventory": ["snapshot_date"], "traffic": ["traffic_date"], "weather": ["weather_date"]}
 STORE_GROUPS = 64
+#: Rows of a group that are filled as one window in one task.
+WHOLE = 200_000
 NUMERIC_STORE = {"sales", "inventory"}
+#: Columns that a cleaner turns into numbers before anything else and that are no keys as text; done once, where copies are counted.
+NUMBERS = {
+    "sales": ["store_id", "quantity", "unit_price", "total_amount"],
+    "inventory": ["store_id", "quantity"],
+}
 WEATHER_NUMBERS = ["temp_high", "temp_low", "humidity", "wind_speed", "precipitation"]
 COPIES = "_copies"
 NO_DATE = "0001-01-01"
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 @dataclass
@@ -113,32 +122,47 @@ def coerce(df: DataFrame, numbers: list[str], dates: list[str] = ()) -> DataFram
 
 
 def interpolate(
-    df: DataFrame, columns: list[str], group: str, order: list[str], bucket: Column, median_fallback: bool = True,
+    df: DataFrame, columns: list[str], group: str | Sequence[str], order: list[str], bucket: Column, median_fallback: bool = True,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Fill numeric nulls: linear within the group, then the column's median, then zero.
 
     ``order`` must give every row of a group its place; ``bucket`` cuts a group's
-    rows in that order. Groups without any value are rare, so the medians are only
+    rows in that order. Only groups of more than ``WHOLE`` rows are cut, into chunks of neighbouring buckets.
+    Groups without any value are rare, so the medians are only
     computed for columns that have such a group. With ``by`` each of its values is an
     import of its own, with its own groups and medians.
+
+    The input is read twice; what is costly before it should be written first.
     """
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    keys = [*by, group]
-    # The fill reads its input twice; what stands before it (coercion, dedupe) should run once.
-    placed = df.withColumn("_bucket", bucket)
-    rows = cut_lineage(placed)
-    if not placed.schema["_bucket"].nullable:
-        # Files do not tell; said here, both readings are one shuffle.
-        rows = rows.where(F.col("_bucket").isNotNull())
-    filled = ordered.interpolate(rows, columns, keys, "_bucket", [F.col(c).asc_nulls_first() for c in order]).drop("_bucket")
+    groups = [group] if isinstance(group, str) else group
+    keys = [*by, *groups]
+    known = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_known_{k}") for k, c in enumerate(columns)]
+    )
+    facts = known.agg(F.max("_n").alias("_n"), *[F.bool_or(F.col(f"_known_{k}") == 0).alias(c) for k, c in enumerate(columns)]).first()
+    by_place = [F.col(c).asc_nulls_first() for c in order]
+    rows = df.withColumn("_bucket", bucket)
+    # Rows without bucket count as the first of their group and go in the end.
+    nullable = rows.schema["_bucket"].nullable
+    if (facts["_n"] or 0) <= WHOLE:
+        by_place = [F.col("_bucket").isNotNull(), *by_place] if nullable else by_place
+        filled = ordered.interpolate_whole(rows, columns, keys, by_place, [*by, groups[0]])
+    else:
+        large = cut_lineage(known.where(F.col("_n") > WHOLE).select(*keys), "large")
+        chunks = ordered.chunk_numbers(rows.join(large, keys, "left_semi"), keys, "_bucket", WHOLE // 4, "_chunk")
+        numbered = rows.join(cut_lineage(chunks, "chunks"), [*keys, "_bucket"], "left")
+        numbered = numbered.withColumn("_chunk", F.coalesce("_chunk", F.lit(0)))
+        if nullable:
+            numbered = numbered.withColumn("_chunk", F.when(F.col("_bucket").isNotNull(), F.col("_chunk")))
+        filled = ordered.interpolate(numbered, columns, keys, "_chunk", by_place)
+    filled = (filled.where(F.col("_bucket").isNotNull()) if nullable else filled).select(*df.columns)
     if not median_fallback:
         return filled.fillna(0.0, columns)
-    known = rows.groupBy(*keys).agg(*[F.count(c).alias(f"_known_{k}") for k, c in enumerate(columns)])
-    empty = known.agg(*[F.bool_or(F.col(f"_known_{k}") == 0).alias(c) for k, c in enumerate(columns)]).first()
-    open_columns = [c for c in columns if empty[c]]
+    open_columns = [c for c in columns if facts[c]]
     if open_columns:
         filled = cut_lineage(filled)
     for c in open_columns:
@@ -156,15 +180,24 @@ def _order(df: DataFrame, first: list[str]) -> list[str]:
 def clean_sales(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct rows with filled keys in, typed valid sale lines out."""
     typed = coerce(df, ["store_id", "quantity", "unit_price", "total_amount"]).where(F.col("store_id").isNotNull())
-    # As text, which gives every number back: Spark deals floating keys anew for each grouping, as it normalises them first.
-    typed = typed.withColumn("store_id", (F.col("store_id") + F.lit(0.0)).cast("string"))
+    # A store's number is its whole part and, where that is not all, its text. Spark deals floating keys anew for each grouping,
+    # as it normalises them first; dealt by the whole number that is stored in the end, the fill and the keys of an import need one shuffle.
+    number = F.col("store_id") + F.lit(0.0)
+    ends = F.when(number > 0, F.lit(MOST)).otherwise(F.lit(LEAST))
+    typed = typed.withColumn("_store_id", F.coalesce(number.try_cast("long"), ends))
+    typed = typed.withColumn("store_id", F.when(number != F.col("_store_id").cast("double"), number.cast("string")).otherwise(""))
     dated = typed.withColumn("_day", F.coalesce(lenient_date("sale_date"), F.lit(NO_DATE).cast("date")))
-    order = ["_day", *_order(df, ["receipt_no", "item_id"])]
+    order = ["_day", *[c for c in _order(df, ["receipt_no", "item_id"]) if c != "store_id"]]
     # Days are cut once more by receipt, so that one busy day of one store is no single bucket.
     bucket = F.struct("_day", F.substring("receipt_no", 1, 2).alias("receipts"))
-    full = interpolate(dated, ["quantity", "unit_price", "total_amount"], "store_id", order, bucket, by=by)
-    valid = full.where((F.col("quantity") > 0) & (F.col("unit_price") >= 0) & (F.col("total_amount") >= 0))
-    valid = valid.where(F.col("_day") != F.lit(NO_DATE).cast("date")).withColumn("sale_date", F.col("_day")).drop("_day")
+    full = interpolate(dated, ["quantity", "unit_price", "total_amount"], ["_store_id", "store_id"], order, bucket, by=by)
+    amounts = (F.col("quantity") > 0) & (F.col("unit_price") >= 0) & (F.col("total_amount") >= 0)
+    usable = amounts & (F.col("_day") != F.lit(NO_DATE).cast("date"))
+    # A number beyond all whole ones is an error of the import, as it is for the cast, but only in a row that would be stored.
+    beyond = usable & F.col("_store_id").isin(MOST, LEAST)
+    whole = F.coalesce(F.nullif(F.col("store_id"), F.lit("")).cast("double"), F.col("_store_id").cast("double")).cast("long")
+    valid = full.where(usable).where(F.when(beyond, whole.isNotNull()).otherwise(True))
+    valid = valid.withColumn("sale_date", F.col("_day")).withColumn("store_id", F.col("_store_id")).drop("_day", "_store_id")
     if "discount_amount" in valid.columns:
         valid = valid.withColumn("discount_amount", F.coalesce(lenient_number("discount_amount"), F.lit(0.0)))
     else:
@@ -172,7 +205,7 @@ def clean_sales(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     recalculated = F.when(
         (F.col("total_amount") == 0) & (F.col("unit_price") > 0), F.col("quantity") * F.col("unit_price")
     ).otherwise(F.col("total_amount"))
-    return valid.withColumn("total_amount", recalculated).withColumn("store_id", F.col("store_id").cast("double").cast("long"))
+    return valid.withColumn("total_amount", recalculated)
 
 
 def clean_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -182,6 +215,7 @@ def clean_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     full = interpolate(dated, ["quantity"], "item_id", order, F.col("_day"), by=by)
     valid = full.where(F.col("_day") != F.lit(NO_DATE).cast("date")).withColumn("snapshot_date", F.col("_day"))
     more = [c for c in ("unit_cost", "total_value") if c in df.columns]
+    valid = cut_lineage(valid) if more else valid
     valid = interpolate(coerce(valid, more), more, "item_id", order, F.col("_day"), by=by).drop("_day")
     if "unit_cost" in df.columns and "total_value" not in df.columns:
         valid = valid.withColumn("total_value", F.col("quantity") * F.col("unit_cost"))
@@ -230,9 +264,16 @@ CLEANERS = {
 }
 
 
+def _counted(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return count_copies(drop_empty_rows(normalize_headers(df)), by)
+
+
 def clean_stats(df: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
     """Counts of an import as one row: total, duplicate and error rows; one row for each value of ``by``."""
-    counted = count_copies(drop_empty_rows(normalize_headers(df)), by)
+    return _stats(_counted(df, by), entity, by)
+
+
+def _stats(counted: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
     total = F.coalesce(F.sum(COPIES), F.lit(0)).alias("total_rows")
     copies = F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("duplicate_rows")
     if entity not in CLEANERS:
@@ -254,7 +295,17 @@ def clean_rows(df: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
     column rejects the whole batch. ``by`` names columns, such as the file, whose values are
     cleaned as imports of their own and stay on the rows.
     """
-    rows = count_copies(drop_empty_rows(normalize_headers(df)), by).drop(COPIES)
+    # Fills read their input twice; the duplicates should be found once.
+    return _rows(_written(df, entity, by) if entity in CLEANERS else _counted(df, by), entity, by)
+
+
+def _written(df: DataFrame, entity: str, by: Sequence[str]) -> DataFrame:
+    counted = _counted(df, by)
+    return cut_lineage(coerce(counted, [c for c in NUMBERS.get(entity, []) if c in counted.columns]), "counted")
+
+
+def _rows(counted: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
+    rows = counted.drop(COPIES)
     if entity not in CLEANERS:
         return rows
     if not require_columns(rows, REQUIRED[entity]):
@@ -262,8 +313,10 @@ def clean_rows(df: DataFrame, entity: str, by: Sequence[str] = ()) -> DataFrame:
     return CLEANERS[entity](drop_null_keys(rows, ROW_KEYS[entity]), by)
 
 
-def clean(df: DataFrame, entity: str) -> Cleaned:
-    return Cleaned(clean_rows(df, entity), clean_stats(df, entity))
+def clean(df: DataFrame, entity: str, by: Sequence[str] = ()) -> Cleaned:
+    """Clean rows and counts from one reading of ``df``."""
+    counted = _written(df, entity, by)
+    return Cleaned(_rows(counted, entity, by), _stats(counted, entity, by))
 
 
 def with_folders(rows: DataFrame, entity: str) -> DataFrame:
@@ -275,15 +328,22 @@ def with_folders(rows: DataFrame, entity: str) -> DataFrame:
 
 def run_import(spark: SparkSession, path: str, entity: str, target: str, line_breaks: bool = True) -> dict[str, int]:
     """One import: read, clean, drop rows whose key is stored already, publish all or nothing. ``line_breaks`` as in ``read_feed``."""
-    feed = cut_lineage(read_feed(spark, path, line_breaks))
-    cleaned = clean(feed, entity)
-    rows = cut_lineage(with_folders(cleaned.rows, entity), f"clean-{entity}")
+    cleaned = clean(read_feed(spark, path, line_breaks), entity)
+    rows = with_folders(cleaned.rows, entity)
     keys, folders = CONFLICT_KEYS.get(entity), FOLDERS.get(entity, [])
-    # Equal keys inside one file: the smallest row by its other columns stands for the first.
-    fresh = absent_from(target, rows, keys, [F.struct(*[c for c in rows.columns if c not in keys])], folders) if keys else rows
-    kept = cut_lineage(fresh, f"fresh-{entity}")
+    if keys and set(keys) <= set(rows.columns):
+        # Equal keys inside one file: the smallest row by its other columns stands for the first.
+        rest = [c for c in rows.columns if c not in keys]
+        least = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias(COPIES))
+        rows = least.select(*keys, "_row.*", COPIES).select(*rows.columns, COPIES)
+    else:
+        rows = rows.withColumn(COPIES, F.lit(1).cast("long"))
+    rows = cut_lineage(rows, f"clean-{entity}")
+    kept = rows.drop(COPIES)
+    if keys and hadoop.exists(spark, target):
+        kept = cut_lineage(not_stored(stored_near(target, kept, keys, folders), kept, keys), f"fresh-{entity}")
     counts = cleaned.stats.first()
-    clean_rows, inserted = rows.count(), kept.count()
+    clean_rows, inserted = rows.agg(F.coalesce(F.sum(COPIES), F.lit(0))).first()[0], kept.count()
     load_atomic(kept, target, keys, folders)
     return {
         "total_rows": counts["total_rows"],

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXTRA, BROKEN = "_extra_field", "_broken_line"
+BROKEN = "_broken_line"
 
 
 def read_feed(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
@@ -17,13 +17,12 @@ def read_feed(spark: SparkSession, path: str, line_breaks: bool = True) -> DataF
     false) is split.
 
     Short lines are filled with nulls. Lines with more fields than the header are
-    skipped: with one field added to the schema a line of exactly that length
-    parses cleanly and a longer one fills the added field.
+    skipped. Only a line that does not have the header's length is looked at again: with one field
+    added a line of exactly that length parses cleanly and a longer one fills the added field.
     """
     names = spark.read.options(header=True, escape='"', multiLine=line_breaks).csv(path).columns
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in [*names, EXTRA]] + [T.StructField(BROKEN, T.StringType())]
-    )
+    fields = names or ["_no_field"]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in fields] + [T.StructField(BROKEN, T.StringType())])
     lines = (
         spark.read.schema(schema)
         .options(header=True, escape='"', multiLine=line_breaks)
@@ -35,7 +34,17 @@ def read_feed(spark: SparkSession, path: str, line_breaks: bool = True) -> DataF
         .csv(path)
         .withColumn("_file", F.col("_metadata.file_path"))
     )
-    return lines.where(F.col(BROKEN).isNotNull() & F.col(EXTRA).isNull()).select(*names, "_file")
+    # Spark reads no file for the broken line alone, so a count needs a field too.
+    line = F.coalesce(F.col(BROKEN), F.col(fields[0]))
+    return lines.where(F.when(F.col(BROKEN).isNotNull(), _not_longer(line, len(fields))).otherwise(True)).select(*names, "_file")
+
+
+def _not_longer(line: Column, n: int) -> Column:
+    """Whether a line that is not ``n`` fields long has fewer."""
+    fields = ", ".join(f"f{i} string" for i in range(n + 1))
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnPruning": "false", "columnNameOfCorruptRecord": BROKEN}
+    parsed = F.from_csv(line, f"{fields}, {BROKEN} string", options)
+    return parsed[BROKEN].isNotNull() & parsed[f"f{n}"].isNull()
 
 
 def read_competitors(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:

@@ -49,9 +49,13 @@ def first_per_key(batch: DataFrame, keys: list[str], order: list) -> DataFrame:
     )
 
 
+def not_stored(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    return batch.join(stored.select(*keys), keys, "left_anti")
+
+
 def absent_rows(target: DataFrame, batch: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Batch rows whose key is new; of equal keys in the batch the first by ``order``."""
-    return first_per_key(batch, keys, order).join(target.select(*keys), keys, "left_anti")
+    return not_stored(target, first_per_key(batch, keys, order), keys)
 
 
 def _read_like(path: str, df: DataFrame) -> DataFrame:

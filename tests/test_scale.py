@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aisle.operators import basket, cleaning, kpi, supply
 from aisle.plans import forecasting
-from aisle.sources import sinks
+from aisle.sources import feeds, sinks
 from aisle.sources.standins import Tables
 from aisle.streaming import feeds as live
 
@@ -101,3 +101,54 @@ def test_mining_stays_in_arrow(item):
     assert found == {(value(0), value(1)): 3, (value(0), value(2)): 3, (value(0), value(1), value(2)): 2}
     rare = basket._mine(None)(group.set_column(2, "least", pa.array([9.0] * 5)))
     assert rare.num_rows == 0 and rare.schema.field("items").type == pa.list_(item)
+
+
+def test_import_reads_its_file_once_and_shuffles_rows_for_fill_and_keys_once(spark, tmp_path, monkeypatch):
+    path, plans, write = str(tmp_path / "in"), {}, cleaning.cut_lineage
+
+    def spy(df, label="cut"):
+        plans[label] = _plan(df)
+        return write(df, label)
+
+    monkeypatch.setattr(cleaning, "cut_lineage", spy)
+    sinks.export_csv(_sales(spark).coalesce(1), path)
+    cleaning.run_import(spark, path, "sales", str(tmp_path / "out"))
+    assert [label for label, plan in plans.items() if "FileScan csv" in plan] == ["counted"]
+    assert plans["clean-sales"].count("Exchange hashpartitioning") == 1 and "min(struct" in plans["clean-sales"]
+
+
+@pytest.mark.parametrize("whole", [200_000, 40])
+def test_large_groups_are_filled_in_chunks_with_the_same_rows(spark, monkeypatch, whole):
+    rows = [
+        (s, f"2024-01-{1 + i // 10:02d}", f"{i % 10}{i:03d}", "a", None if (i * 7 + j) % 5 < 3 else str(i * i % 37 + 1), None if i % 9 else "4", "5")
+        for j, s in enumerate(["1", "1.0", "1.5", "2", "x"]) for i in range(30 if s == "2" else 90)
+    ]
+    frame = spark.createDataFrame(rows + rows[:20], SALES)
+    monkeypatch.setattr(cleaning, "WHOLE", whole)
+    found = cleaning.clean_rows(frame, "sales").toPandas()
+    # Each store number by position, as numpy does it.
+    import numpy as np
+    import pandas as pd
+
+    all_rows = pd.DataFrame(rows, columns=[c.split()[0] for c in SALES.split(", ")]).drop_duplicates()
+    all_rows = all_rows[all_rows.store_id != "x"].astype({"store_id": float, "quantity": float, "unit_price": float})
+    wanted = []
+    for store, g in all_rows.groupby("store_id"):
+        g = g.sort_values(["sale_date", "receipt_no", "item_id", "quantity", "unit_price"], na_position="first", kind="stable")
+        for c in ("quantity", "unit_price"):
+            known = g[c].notna().to_numpy()
+            at = np.arange(len(g))
+            g[c] = np.interp(at, at[known], g[c].to_numpy()[known])
+        wanted += [(int(store), str(d), r, round(q, 9), round(u, 9)) for d, r, q, u in zip(g.sale_date, g.receipt_no, g.quantity, g.unit_price)]
+    got = [(int(r.store_id), str(r.sale_date), r.receipt_no, round(r.quantity, 9), round(r.unit_price, 9)) for r in found.itertuples()]
+    assert sorted(got) == sorted(wanted)
+
+
+def test_good_lines_of_a_feed_are_no_broken_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,2\n"x\ny",3\n4\n5,6,7\n8,9,\n8,9,,\n', encoding="utf-8")
+    feed = feeds.read_feed(spark, str(tmp_path / "a.csv"))
+    assert sorted((r["a"], r["b"]) for r in feed.collect()) == [("1", "2"), ("4", None), ("8", "9"), ("x\ny", "3")] and feed.count() == 4
+    # Only a line of another length is parsed again, so the reader's schema has no field beyond the header's.
+    assert "_extra_field" not in _plan(feed)
+    (tmp_path / "none.csv").write_text("")
+    assert feeds.read_feed(spark, str(tmp_path / "none.csv")).count() == 0
