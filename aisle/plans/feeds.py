@@ -229,7 +229,7 @@ def stream_import(t):
     """The dirty sale lines dropped as one file, loaded by the import stream."""
     root = f"{checkpoint_root(t.spark)}/drop-{uuid.uuid4().hex}"
     dirty = _dirty(t)
-    dirty.coalesce(1).write.parquet(f"{root}/in")
+    dirty.coalesce(1).write.option("compression", "zstd").parquet(f"{root}/in")
     stream = t.spark.readStream.schema(dirty.schema).parquet(f"{root}/in")
     feeds.stream_import(t.spark, stream, "sales", f"{root}/out")
     loaded = feeds.imported(t.spark, f"{root}/out").select(F.col("store_id").cast("long").alias("store_id"), "receipt_no", "item_id")

@@ -25,6 +25,11 @@ def rename(spark: SparkSession, place: str, goal: str) -> bool:
     return _system(spark, path).rename(path, _path(spark, goal))
 
 
+def delete(spark: SparkSession, place: str) -> bool:
+    path = _path(spark, place)
+    return _system(spark, path).delete(path, True)
+
+
 def delete_uris(spark: SparkSession, uris: Iterable[str]) -> None:
     """Folders by their escaped names, as ``_metadata.file_path`` gives them."""
     for uri in uris:

@@ -1,11 +1,14 @@
 """Figures that must not grow with the input: folders of an import, maps before shuffles, shuffles, objects of a group."""
 
+import os
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from aisle.operators import basket, cleaning, kpi, supply
 from aisle.plans import forecasting
+from aisle.session import checkpoint_root, cut_lineage, passing_tables
 from aisle.sources import feeds, sinks
 from aisle.sources.standins import Tables
 from aisle.streaming import feeds as live
@@ -33,6 +36,30 @@ def test_import_folders_do_not_grow_with_stores(spark, tmp_path):
     assert {r["store_id"] for r in spark.read.parquet(str(target)).collect()} == set(range(300))
 
 
+def test_stream_import_keeps_nothing_but_its_result(spark, tmp_path):
+    source, target, root = str(tmp_path / "in"), str(tmp_path / "out"), checkpoint_root(spark)
+    before = set(os.listdir(root))
+    for _ in range(2):  # the second one meets stored keys
+        _sales(spark).coalesce(1).write.mode("append").parquet(source)
+        live.stream_import(spark, spark.readStream.schema(SALES).parquet(source), "sales", target, str(tmp_path / "state"))
+    assert not set(os.listdir(root)) - before
+    counts = live.imports(spark, target).orderBy(live.ARRIVED).collect()
+    assert [(r.total_rows, r.success_rows, r.conflict_rows) for r in counts] == [(300, 300, 0), (300, 0, 300)]
+    assert live.imported(spark, target).count() == 300
+
+
+def test_passing_tables_go_after_a_failure(spark):
+    with pytest.raises(ValueError), passing_tables(spark, "passing") as outer:
+        with passing_tables(spark, "inner") as inner:
+            kept = cut_lineage(spark.range(7), "kept", outer)
+            cut_lineage(spark.range(5))
+            assert len(os.listdir(inner)) == 1
+        assert not os.path.exists(inner) and kept.count() == 7
+        raise ValueError
+    assert not os.path.exists(outer)
+    assert cut_lineage(spark.range(3)).inputFiles()[0].startswith(f"file://{checkpoint_root(spark)}/cut-")
+
+
 def test_stream_import_folders_do_not_grow_with_stores(spark, tmp_path):
     source, target = str(tmp_path / "in"), tmp_path / "out"
     _sales(spark).coalesce(1).write.parquet(source)
